@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import licenses, quality, secrets, storage, toxicity
+from arbora.llm import jaccard, licenses, quality, secrets, storage, toxicity
 
 #: A score from here on is a prediction of 1.
 THRESHOLD = 0.7
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set and the group that it belongs to by links."""
+    return jaccard.similar_groups(storage.read(spark, sf_dir, "documents"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, with digests of the base kinds' spans and of all spans."""
     base = secrets.KINDS[:3]
@@ -49,6 +54,7 @@ def _scored(scores: DataFrame, n: int, held: int) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard": op1_jaccard,
         "op2_secrets": op2_secrets,
         "op5_toxicity": op5_toxicity,
         "op6_licenses": op6_licenses,
