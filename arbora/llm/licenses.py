@@ -80,7 +80,7 @@ def _families() -> list[tuple[str, str, str]]:
             out.append((f"{label}-{v.replace(' ', '.')}", f"{name} (?:version |v)?{v}", "licen"))
     for parts in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd"):
         for v in ("1 0", "2 0", "2 5", "3 0", "4 0"):
-            out.append((f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", f"cc {parts} {v}", "cc "))
+            out.append((f"cc-{parts.replace(' ', '-')}-{v.replace(' ', '.')}", f"cc {parts} {v}", " cc "))
     out.append(("cc0-1.0", "cc0(?: 1 0)?(?: universal)?", "cc0"))
     return out
 
@@ -146,7 +146,7 @@ def _intervals(norm: Column, rule: Column) -> Column:
 def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All matches of all rules whose keyword the text has, by start, longest and highest priority first."""
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(f" ({r.pattern})(?= )").alias("regex"), F.lit(r.keyword).alias("keyword"), F.lit(r.priority).alias("priority")) for r in rules])
-    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["keyword"])), lambda r: _intervals(norm, r))))
+    return F.array_sort(F.flatten(F.transform(F.filter(table, lambda r: F.contains(norm, r["keyword"]) & F.rlike(norm, r["regex"])), lambda r: _intervals(norm, r))))
 
 
 def surviving(found: Column) -> Column:

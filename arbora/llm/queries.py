@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import jaccard, licenses, quality, secrets, storage, toxicity
+from arbora.llm import decontaminate, jaccard, licenses, packing, quality, secrets, storage, toxicity
 
 #: A score from here on is a prediction of 1.
 THRESHOLD = 0.7
@@ -26,6 +26,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.joined(F.col("spans"), base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document and its place in a sequence of at most 4096 tokens."""
+    return packing.pack(packing.cut_pieces(storage.read(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; labels are learnt outside the held-out third."""
     docs, labels = storage.read(spark, sf_dir, "documents"), storage.read(spark, sf_dir, "labels")
@@ -48,6 +53,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(quality.score(rows, quality.fit(rows.join(known, "doc_id"), "quality")), 4, 2)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with its best window."""
+    return decontaminate.contaminated(storage.read(spark, sf_dir, "documents"), storage.read(spark, sf_dir, "benchmark"))
+
+
 def _scored(scores: DataFrame, n: int, held: int) -> DataFrame:
     return scores.select("doc_id", (toxicity.fold(F.col("doc_id"), n) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -56,9 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_secrets": op2_secrets,
+        "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_licenses": op6_licenses,
         "op9_quality": op9_quality,
+        "op10_decontamination": op10_decontamination,
     }
 
 

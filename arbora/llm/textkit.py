@@ -102,6 +102,13 @@ def slices(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return mix((sums[ends] - sums[starts]) * _power_tables(len(sums))[1][starts])
 
 
+def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges as they stand, without lower-casing."""
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return slices(sums, starts, ends)
+
+
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash for every k successive words; windows over a row's end are included and must be left out by the caller."""
     if len(hashes) < k:
