@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, jaccard, licenses, packing, quality, secrets, storage, toxicity
+from arbora.llm import covertree, decontaminate, jaccard, licenses, packing, quality, secrets, storage, templates, toxicity
 
 #: A score from here on is a prediction of 1.
 THRESHOLD = 0.7
@@ -15,7 +15,7 @@ THRESHOLD = 0.7
 
 def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the group that it belongs to by links."""
-    return jaccard.similar_groups(storage.read(spark, sf_dir, "documents"))
+    return jaccard.similar_groups(storage.read(spark, sf_dir, "documents")).drop("n_links")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "found.n_words", "found.n_base", "found.first_word", "found.last_word", joined("base_labels"), joined("labels"), "found.score")
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return templates.extract(storage.read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    return covertree.top_k(storage.read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; labels are learnt outside the held-out quarter."""
     docs, labels = storage.read(spark, sf_dir, "documents"), storage.read(spark, sf_dir, "labels")
@@ -69,10 +79,44 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_licenses": op6_licenses,
+        "op7_html": op7_html,
+        "op8_topk": op8_topk,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
     }
 
 
+#: Shingle sets, all linked pairs and their transitive closure.
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w
+), s AS (SELECT doc_id, unnest(sh) AS h FROM sets
+), n AS (SELECT doc_id, len(sh) AS n FROM sets
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach AS (SELECT a, b FROM edge UNION SELECT r.a, e.b FROM reach r JOIN edge e ON r.b = e.a
+), low AS (SELECT a, min(b) AS b FROM reach GROUP BY a
+)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(least(low.b, n.doc_id), n.doc_id) AS component_id
+FROM n LEFT JOIN low ON low.a = n.doc_id
+"""
+
+OP8_SQL = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.r, d.vec_id, CAST(list_inner_product(q.e, d.e) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND q.r <> d.r AND len(q.e) = len(d.e)
+), ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_jaccard": OP1_SQL, "op8_topk": OP8_SQL}
