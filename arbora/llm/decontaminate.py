@@ -134,30 +134,44 @@ class Index:
         return [(self.ids[k], start, self.sizes[k], similarity) for k, (similarity, start) in sorted(best.items())]
 
 
+def _found(index: Index, column: pa.Array) -> tuple[list[int], list[tuple[int, int, int, float]]]:
+    """Rows of a column and the matches they have."""
+    rows, found = [], []
+    for a, _, _, _, _, _, hashes, at, _ in textkit.texts_in_runs(column, textkit.ALNUM):
+        cuts: dict[int, dict[int, np.ndarray]] = {}
+        for n in index.places:
+            hit = index.hits(textkit.windows(hashes, n), n)
+            row = np.searchsorted(at, hit, "right") - 1
+            keep = hit + n <= at[row + 1]
+            hit, row = hit[keep], row[keep]
+            for r in np.unique(row).tolist():
+                cuts.setdefault(r, {})[n] = hit[row == r] - at[r]
+        for r in sorted(cuts):
+            got = index.match(hashes[at[r] : at[r + 1]], cuts[r])
+            rows += [a + r] * len(got)
+            found += got
+    return rows, found
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
-            rows, found = [], []
-            for a, b, _, _, _, _, hashes, at, _ in textkit.texts_in_runs(batch.column(1), textkit.ALNUM):
-                cuts: dict[int, dict[int, np.ndarray]] = {}
-                for n in index.places:
-                    hit = index.hits(textkit.windows(hashes, n), n)
-                    row = np.searchsorted(at, hit, "right") - 1
-                    keep = hit + n <= at[row + 1]
-                    hit, row = hit[keep], row[keep]
-                    for r in np.unique(row).tolist():
-                        cuts.setdefault(r, {})[n] = hit[row == r] - at[r]
-                for r in sorted(cuts):
-                    got = index.match(hashes[at[r] : at[r + 1]], cuts[r])
-                    rows += [a + r] * len(got)
-                    found += got
+            rows, found = _found(shared.value, batch.column(1))
             item, start, size, similarity = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(similarity, pa.float64())], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
     return run
 
 
+def _drop(shared, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gone = set(_found(shared.value, batch.column(text))[0])
+            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in gone], pa.int64()))
+
+    return run
+
+
 def _passes(items: DataFrame, item: str, text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in groups that fit one pass; the driver holds one group at a time."""
     part, held = [], 0
@@ -180,3 +194,10 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         found = docs.select(F.col(key), F.col(text)).mapInArrow(_search(shared), schema)
         out = found if out is None else out.union(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item."""
+    for part in _passes(items, item, item_text):
+        docs = docs.mapInArrow(_drop(docs.sparkSession.sparkContext.broadcast(Index(part)), docs.columns.index(text)), docs.schema)
+    return docs

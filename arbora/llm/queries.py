@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import covertree, decontaminate, jaccard, licenses, packing, quality, secrets, storage, templates, toxicity
+from arbora.llm import covertree, decontaminate, jaccard, licenses, packing, quality, secrets, shards, storage, templates, toxicity
 
 #: A score from here on is a prediction of 1.
 THRESHOLD = 0.7
@@ -26,6 +26,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(secrets.joined(F.col("spans"), base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
 
 
+def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot, shard and record of every sequence of every document, after writing the shards to the shared folder."""
+    return shards.materialise(storage.read(spark, sf_dir, "documents"), storage.new_path(spark, "shards"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document and its place in a sequence of at most 4096 tokens."""
     return packing.pack(packing.cut_pieces(storage.read(spark, sf_dir, "documents")))
@@ -72,10 +77,18 @@ def _scored(scores: DataFrame, n: int, held: int) -> DataFrame:
     return scores.select("doc_id", (toxicity.fold(F.col("doc_id"), n) == held).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline: its last stage's rows."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard": op1_jaccard,
         "op2_secrets": op2_secrets,
+        "op3_shards": op3_shards,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_licenses": op6_licenses,
@@ -83,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_topk": op8_topk,
         "op9_quality": op9_quality,
         "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
     }
 
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from arbora.llm import textkit
 
@@ -131,13 +132,13 @@ def train(roles: np.ndarray, sets: list[np.ndarray], prior: float, rounds: int =
     return Model(chosen, w, float(bias))
 
 
-def _scorer(model_of):
+def _scorer(model_of, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = model_of.value
         mask, crowded = np.uint64((1 << _BITS) - 1), bool((table == -2).any())
         for batch in batches:
             margin = np.full(batch.num_rows, model.bias)
-            for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(batch.column(1), textkit.ALNUM):
+            for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(batch.column(text), textkit.ALNUM):
                 row = np.repeat(np.arange(b - a), np.diff(at))
                 hits = []
                 for own, found in _features(sums, starts, ends, hashes):
@@ -150,7 +151,7 @@ def _scorer(model_of):
                 hit = np.unique(np.concatenate(hits))
                 if len(hit):
                     margin[a:b] += np.bincount(hit // len(model.features), model.weights[hit % len(model.features)], b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], [*batch.schema.names, "__score"])
 
     return run
 
@@ -179,10 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return train(roles, sets, prior) if (roles == 1).any() else None
 
 
-def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` and ``score`` of every row."""
+def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+    """``docs`` with a column ``__score``."""
     if model is None or not len(model.features):
-        bias = 0.0 if model is None else 1 / (1 + np.exp(-model.bias))
-        return docs.select(key, F.lit(float(bias)).alias("score"))
+        return docs.withColumn("__score", F.lit(0.0 if model is None else float(1 / (1 + np.exp(-model.bias)))))
     shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scorer(shared), f"doc_id {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("doc_id", key)
+    return docs.mapInArrow(_scorer(shared, docs.columns.index(text)), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+
+
+def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and ``score`` of every row."""
+    return with_score(docs.select(key, text), model, text).select(key, F.col("__score").alias("score"))
+
+
+def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold."""
+    return with_score(docs, model, text).where(F.col("__score") < threshold).drop("__score")
