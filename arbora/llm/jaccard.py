@@ -18,10 +18,11 @@ The join's work is bounded whatever the groups are.  Each task first joins its
 own rows by key and forwards one of them, its hub; the keys themselves travel
 as packed arrays.  Rows of a key are compared with the hub (one of eight
 hashings of the ids, by key), survivors of the sketch test are verified on
-their texts, and linked texts become components.  Only keys that still hold
-several components are joined again, for pairs of different components, so a
-group of m copies costs about m comparisons and still no link between
-components is lost.
+their texts, and linked texts become components.  In keys that still hold
+several components, rows outside the largest one meet further hubs, and what
+is then left is compared in all pairs of different components that sizes and a
+short sketch leave possible.  So a group of m copies costs about m comparisons,
+and no link between components is lost.
 
 Defined cases: a text with fewer words than five is one shingle of the whole;
 a null, empty or blank text has an empty set and no link; a null id never
@@ -45,11 +46,15 @@ K = 5
 CHUNKS = 0.35
 #: Keys that a task joins among themselves before it sends them on.
 FLUSH = 3_000_000
+#: 64-bit words of the short sketch that goes with a key's rows.
+WORDS = 8
+#: Further hubs that the rows of a key with several components are compared with before all of its pairs are.
+HUBS = 1
 #: Partners that are verified beside one copy of their hub's text.
 BLOCK = 256
 
 DOC, KEYS, PAIR, MEMBER = 0, 1, 2, 3
-_SCHEMA = "route int, kind int, doc_id bigint, other bigint, n int, fp1 bigint, fp2 bigint, payload binary"
+_SCHEMA = "route int, kind int, doc_id bigint, other bigint, n int, fp1 bigint, fp2 bigint, payload binary, words array<bigint>"
 _U = np.uint64
 _SALTS = np.array([textkit.mix_int(77 + k) for k in range(8)], _U)
 _MASK = (1 << 64) - 1
@@ -93,9 +98,9 @@ def chunk_keys(shingles: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def parity_sketch(shingles: np.ndarray) -> bytes:
-    """A parity bit for each residue: two to four bits for each shingle, 64 at least."""
-    bits = max(64, 4 << band(len(shingles)))
+def parity_sketch(shingles: np.ndarray, bits: int = 0) -> bytes:
+    """A parity bit for each residue: two to four bits for each shingle, 64 at least, or as many as are said."""
+    bits = bits or max(64, 4 << band(len(shingles)))
     odd = np.bincount((shingles & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -132,7 +137,7 @@ def _multiple(keys: np.ndarray) -> np.ndarray:
 
 def _rows(**columns) -> pa.RecordBatch:
     n = max(len(v) for v in columns.values())
-    types = (("route", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("payload", pa.binary()))
+    types = (("route", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("payload", pa.binary()), ("words", pa.list_(pa.int64())))
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(n, kind) for k, kind in types], [k for k, _ in types])
 
 
@@ -154,7 +159,7 @@ def _flush(keys: list[np.ndarray], ids: list[np.ndarray], routes: int) -> Iterat
     several = _multiple(key)
     k, d, hub, lead = _join_by_key(key[several], doc[several])
     yield from _pair_rows(d, hub)
-    yield from _member_rows(d[~lead], k[~lead])
+    yield from _member_rows(d, k)
     key, doc = np.concatenate([key[~several], k[lead]]), np.concatenate([doc[~several], d[lead]])
     route = (key % _U(routes)).astype(np.int64)
     order = np.argsort(route, kind="stable")
@@ -172,7 +177,7 @@ def _sketch(routes: int):
         keys, ids, held = [], [], 0
         for batch in batches:
             doc_ids = batch.column(0)
-            n, fp1, fp2, sketches = [], [], [], []
+            n, fp1, fp2, sketches, short = [], [], [], [], []
             number = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
             known = doc_ids.is_valid().to_numpy(zero_copy_only=False)
             for a, _, _, _, _, _, hashes, at, _ in textkit.texts_in_runs(batch.column(1)):
@@ -181,12 +186,13 @@ def _sketch(routes: int):
                     fp1.append(int(s.sum()) & _MASK)
                     fp2.append(int(np.bitwise_xor.reduce(textkit.mix(s))) if len(s) else 0)
                     sketches.append(parity_sketch(s) if len(s) else None)
+                    short.append(np.frombuffer(parity_sketch(s, 64 * WORDS), np.int64))
                     if len(s) and known[k]:
                         keys.append(own := chunk_keys(s))
                         ids.append(np.full(len(own), number[k]))
                         held += len(own)
             as_long = lambda x: np.array(x, _U).view(np.int64)
-            yield _rows(route=(np.arange(len(n)) * 2654435761 + int(number[0] if len(n) else 0)) % 1021, kind=np.full(len(n), DOC), doc_id=doc_ids, n=n, fp1=as_long(fp1), fp2=as_long(fp2), payload=sketches)
+            yield _rows(route=(np.arange(len(n)) * 2654435761 + int(number[0] if len(n) else 0)) % 1021, kind=np.full(len(n), DOC), doc_id=doc_ids, n=n, fp1=as_long(fp1), fp2=as_long(fp2), payload=sketches, words=short)
             if held >= FLUSH:
                 yield from _flush(keys, ids, routes)
                 keys, ids, held = [], [], 0
@@ -276,6 +282,41 @@ def _links(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where("same").select("a", "b").union(ordered.mapInArrow(_verify, "a bigint, b bigint"))
 
 
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _placed(member: DataFrame, rooted: DataFrame) -> DataFrame:
+    return member.join(rooted, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
+
+
+def _open(placed: DataFrame) -> DataFrame:
+    """Rows of keys with three rows at least and several components, with the key's largest component, ``main``."""
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
+    keys = counts.groupBy("key").agg(F.sum("n_root").alias("n_key"), F.count("*").alias("roots"), F.max(F.struct("n_root", "root"))["root"].alias("main"))
+    keys = keys.where("roots > 1 and n_key > 2").select(F.expr("key ^ 0L").alias("open_key"), "main")
+    return placed.join(keys, F.col("key") == F.col("open_key")).drop("open_key")
+
+
+def _to_hubs(rows: DataFrame) -> DataFrame:
+    """Rows outside their key's main component against one row in it, another for each key."""
+    inside = rows.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("hub")))["hub"].alias("hub"))
+    both = rows.where("root <> main").join(inside.select(F.expr("key ^ 0L").alias("hub_key"), "hub"), F.col("key") == F.col("hub_key"))
+    return _unordered(both.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """All pairs of different components in a key that sizes and short sketches leave possible.
+
+    One of a pair is outside the main component; within the main component nothing is compared.
+    """
+    side = lambda k, at: at.select("key", F.col("id").alias(f"i{k}"), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("words").alias(f"w{k}"), (F.col("root") == F.col("main")).alias(f"m{k}"))
+    distance = " + ".join(f"bit_count(w1[{i}] ^ w2[{i}])" for i in range(WORDS))
+    both = side(1, rows.where("root <> main")).join(side(2, rows), "key")
+    both = both.where("r1 <> r2 and (m2 or i1 < i2)").where(f"5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * ({distance}) <= n1 + n2")
+    return _unordered(both.select(F.col("i1").alias("a"), F.col("i2").alias("b"))).distinct()
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (links that were verified)."""
     spark = docs.sparkSession
@@ -290,20 +331,22 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     links, _ = storage.materialize(_links(pairs, info, docs), "links")
     rooted, _ = storage.materialize(components.components(links), "components")
 
-    # Keys whose rows are not all in one component yet.
-    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key"))
-    placed = member.join(rooted, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(F.expr("key ^ 0L").alias("key"))
-    rest, _ = storage.materialize(placed.join(open_keys, "key").join(info.select(F.col("doc_id").alias("id"), "n").distinct(), "id"), "open")
-    x, y = rest.select("key", F.col("id").alias("a"), F.col("root").alias("r1"), F.col("n").alias("n1")), rest.select("key", F.col("id").alias("b"), F.col("root").alias("r2"), F.col("n").alias("n2"))
-    across = x.join(y, "key").where("r1 <> r2 and a < b and 5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1").select("a", "b").distinct()
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more, _ = storage.materialize(_links(across.join(tried, ["a", "b"], "left_anti"), info, docs), "links")
-    final, _ = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
-
-    every = links.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Keys with rows that were not all compared, and are not all in one component yet.
+    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key")).distinct()
+    short = table.where(F.col("kind") == DOC).select(F.col("doc_id").alias("id"), "n", "words").dropDuplicates(["id", "n", "words"])
+    rest, _ = storage.materialize(_open(_placed(member, rooted)).join(short, "id").drop("root", "main"), "open")
+    tried = _unordered(pairs)
+    for last in [False] * HUBS + [True]:
+        now, _ = storage.materialize(_open(_placed(rest, rooted)), "open")
+        wanted, _ = storage.materialize((_across(now) if last else _to_hubs(now)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if wanted.isEmpty():
+            continue
+        more, _ = storage.materialize(_links(wanted, info, docs), "links")
+        rooted, _ = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
+        links, tried = links.union(more), tried.union(wanted)
+    every = _unordered(links).distinct()
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = final.join(degree, "node", "left")
+    found = rooted.join(degree, "node", "left")
     return info.join(found, F.col("doc_id") == F.col("node"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
