@@ -45,7 +45,7 @@ K = 5
 #: Chunks for each shingle of the largest set of a band.
 CHUNKS = 0.35
 #: Keys that a task joins among themselves before it sends them on.
-FLUSH = 3_000_000
+FLUSH = 1_500_000
 #: 64-bit words of the short sketch that goes with a key's rows.
 WORDS = 8
 #: Further hubs that the rows of a key with several components are compared with before all of its pairs are.
@@ -198,6 +198,7 @@ def _sketch(routes: int):
                 keys, ids, held = [], [], 0
         if held:
             yield from _flush(keys, ids, routes)
+        textkit.release()
 
     return run
 
@@ -228,6 +229,7 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids.append(np.frombuffer(tail, np.int64) if len(tail) == 8 * n else np.frombuffer(tail, np.uint32).astype(np.int64) + low)
     if keys:
         yield from joined()
+    textkit.release()
 
 
 def _refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

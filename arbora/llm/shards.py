@@ -89,6 +89,7 @@ def _cut(path: str | None, length: int, end: int, partitions: int, shards: int,
             width = -(-permutation.n // shards)
             columns = [pa.array((order // np.uint64(width)).astype(np.int32)), pa.array(order.astype(np.int64)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(body, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["shard", "place", "doc_id", "start", "ids"])
+        textkit.release()
 
     return run
 

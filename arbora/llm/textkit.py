@@ -7,6 +7,8 @@ few passes over one byte array instead of a Python object for each word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +57,13 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (1 << 64) - 1], U64))[0])
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the machine: Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all strings and the n + 1 offsets into them; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -20,9 +20,9 @@ from arbora.llm import textkit
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Bytes of text that are encoded together.
-RUN = 4 << 20
+RUN = 2 << 20
 
 #: Characters whose normal form, lower case and class are the same here and in the library.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\t\n\r !-/:-@\[-`{-~]*")
