@@ -34,7 +34,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from arbora.llm import textkit
 
 #: Bounds of the sample on which the classifier is fitted.
-MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
+MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
 #: Word beginnings, in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8)
 _SALT = np.array([textkit.mix_int(1000 + k) for k in LENGTHS], np.uint64)
@@ -86,12 +86,16 @@ class Model:
 
 def _select(roles: np.ndarray, sets: list[np.ndarray], prior: float, least: int = 3, most: int = 4000) -> np.ndarray:
     """Features that positives have more often than the unlabelled, by the likelihood-ratio statistic."""
-    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    role = np.repeat(roles, [len(s) for s in sets])
-    kinds, place = np.unique(every, return_inverse=True)
-    positive, other = np.bincount(place[role == 1], minlength=len(kinds)), np.bincount(place[role == 0], minlength=len(kinds))
+    own = [x for x, r in zip(sets, roles, strict=True) if r == 1]
+    kinds, positive = np.unique(np.concatenate(own), return_counts=True)
+    kinds, positive = kinds[positive >= least], positive[positive >= least]
+    other = np.zeros(len(kinds), np.int64)
+    for x, r in zip(sets, roles, strict=True):
+        if r == 0 and len(kinds):
+            place = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
+            other[place[kinds[place] == x]] += 1
     n, m = max((roles == 1).sum(), 1), max((roles == 0).sum(), 1)
-    keep = (positive >= least) & (positive / n > 2 * other / m)
+    keep = positive / n > 2 * other / m
     p, q = positive[keep].astype(float), other[keep].astype(float)
     mean = (p + q) / (n + m)
     with np.errstate(divide="ignore", invalid="ignore"):
