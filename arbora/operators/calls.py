@@ -1,6 +1,7 @@
-"""Call resolution: innermost function of each call, then the first rule that gives a callee.
+"""Call resolution: the first rule that gives a callee, for every call inside a function.
 
-Every rule is a left join against a relation that has one row for each key, so
+What a file says of its own calls comes from the parser; here are the joins
+over the whole project.  Every rule is a left join against a relation that has one row for each key, so
 a call stays one row, and the rules' answers are taken in their order.  The
 relations are small against the calls (functions, modules, distinct qualified
 names), and joins go by file or by name, never by containment over all pairs.
@@ -46,22 +47,16 @@ def innermost(points: DataFrame, intervals: DataFrame, key: str, point: str, ids
 
 def call_edges(parsed: DataFrame) -> DataFrame:
     """caller_id, callee_id, line, label, confidence, provenance, rule, ord of every call inside a function."""
-    spans, calls = table(parsed, "span"), table(parsed, "call")
-    inside = calls.join(innermost(calls.select("rel_path", "ord", "line"), spans, "rel_path", "line", ["rel_path", "ord"]), ["rel_path", "ord"])
+    inside = table(parsed, "call").where("qualname is not null")
     known = functions(parsed)
     mods = modules(parsed)
-    imports = table(parsed, "import_map").select("rel_path", "local", "qualified")
     size = F.size("chain")
 
-    # Facts about the receiver and the name.
+    # Types of receivers: of functions with one qualified name, the last file's count.
     types = table(parsed, "local_type")
     last_file = types.groupBy("qualname").agg(F.max("rel_path").alias("rel_path"))
     types = types.join(last_file, ["qualname", "rel_path"]).select("qualname", F.col("var").alias("receiver"), "type_qualified")
     at = inside.join(types, ["qualname", "receiver"], "left")
-    at = at.join(imports.select("rel_path", F.col("local").alias("receiver"), F.col("qualified").alias("receiver_import")), ["rel_path", "receiver"], "left")
-    at = at.join(imports.select("rel_path", F.col("local").alias("callee_name"), F.col("qualified").alias("name_import")), ["rel_path", "callee_name"], "left")
-    local = spans.groupBy("rel_path", "short").agg(F.max_by("qualname", "ord").alias("local_qualname")).withColumnRenamed("short", "callee_name")
-    at = at.join(local, ["rel_path", "callee_name"], "left")
 
     # Methods, by qualified name anywhere and in a class's own module.
     owner = F.when(F.contains("qualname", F.lit(".")), F.regexp_replace("qualname", r"\.[^.]*$", ""))

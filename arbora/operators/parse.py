@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "rel_path string, tab string, ord int, parent_ord int, depth int, kind string, name string, qualname string, line int, end_line int, col int, "
-    "label string, receiver string, chain array<string>, text string, level int, flag boolean"
+    "label string, receiver string, chain array<string>, text string, level int, flag boolean, first string, second string"
 )
 _ARROW = {"int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
 
@@ -31,7 +31,7 @@ TABLES = {
     "import": ["ord", "name", "label", "receiver AS alias", "line", "level"],
     "item": ["parent_ord AS import_ord", "ord", "name", "receiver AS alias"],
     "span": ["ord", "qualname", "name AS short", "line AS line_start", "end_line AS line_end"],
-    "call": ["ord", "line", "col", "label", "name AS callee_name", "receiver", "chain"],
+    "call": ["ord", "line", "col", "label", "name AS callee_name", "receiver", "chain", "qualname", "text AS local_qualname", "first AS receiver_import", "second AS name_import"],
     "import_map": ["ord", "name AS local", "qualname AS qualified"],
     "local_type": ["ord", "qualname", "name AS var", "text AS type_qualified"],
     "fragment": ["ord", "parent_ord", "level AS idx", "kind AS type_name", "qualname AS function", "line AS line_start", "end_line AS line_end"],
@@ -101,7 +101,7 @@ class _File:
         self.add("file", flag=True, label=ast.get_docstring(tree), end_line=self.source.count("\n") + 1)
         spans = self._brief(tree)
         imports = self._import_map(tree)
-        self._calls(tree)
+        self._calls(tree, spans, imports)
         self._local_types(tree, spans, imports)
         self._names(tree)
         self._findings(tree)
@@ -168,14 +168,19 @@ class _File:
             self.add("import_map", name=local, qualname=qualified)
         return found
 
-    def _calls(self, tree: ast.Module) -> None:
+    def _calls(self, tree: ast.Module, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
+        """Calls with what the file itself says of them: the innermost function, what the names were imported as, and a local function of the name."""
+        inside: dict[int, str] = {}
+        for qualname, first, last in sorted(reversed(spans), key=lambda s: s[1]):  # later starts go over earlier ones
+            inside |= dict.fromkeys(range(first, last + 1), qualname)
+        local = {qualname.rsplit(".", 1)[-1]: qualname for qualname, _, _ in spans}
         for node in ast.walk(tree):
             if not isinstance(node, ast.Call) or not isinstance(node.func, (ast.Name, ast.Attribute)):
                 continue
             chain = dotted(node.func)
             name = node.func.id if isinstance(node.func, ast.Name) else node.func.attr
-            label = ".".join(chain) if chain else name
-            self.add("call", line=node.lineno, col=node.col_offset, label=label, name=name, receiver=chain[0] if chain and len(chain) > 1 else None, chain=chain or [])
+            receiver = chain[0] if chain and len(chain) > 1 else None
+            self.add("call", line=node.lineno, col=node.col_offset, label=".".join(chain) if chain else name, name=name, receiver=receiver, chain=chain or [], qualname=inside.get(node.lineno), text=local.get(name), first=imports.get(receiver), second=imports.get(name))
 
     def _local_types(self, tree: ast.Module, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
         """Variables of a function with the class or name that they were assigned, through aliases."""

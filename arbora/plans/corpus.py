@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.operators.lineage import cut
 from arbora.operators.parse import parse_files
 from arbora.operators.structure import ordered
 
@@ -36,7 +37,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parse_files(files(spark, sf_dir).repartition("rel_path"))
+    """Its parsed rows, parsed once and written, as every relation of a query reads them."""
+    return cut(parse_files(files(spark, sf_dir).repartition("rel_path")))
 
 
 #: The same project as relations: ``f`` functions with their first line - 1 in ``b``, ``m`` modules with ``c`` imports and ``k`` functions.
