@@ -2,7 +2,8 @@
 
 Confirmed toxic texts are the positives; a sample of other training texts,
 whatever their labels, is the unlabelled set.  Features are whole words and
-word beginnings of 4 to 8 bytes, of whole texts.  Those that tell positives
+word beginnings of 4 to 8 bytes, of whole texts, by the logarithm of how often
+they occur.  Those that tell positives
 from the unlabelled by a likelihood-ratio statistic enter a linear model whose
 weights minimise the class-prior-corrected risk
 
@@ -52,7 +53,7 @@ def _features(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np
 
 
 def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """role, and the distinct features of each text as bytes of 64-bit integers."""
+    """role, and each text's distinct features as bytes: 64-bit hashes, then a byte for each one's count."""
     for batch in batches:
         out = []
         for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(batch.column(1), textkit.ALNUM):
@@ -62,7 +63,9 @@ def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             order = np.argsort(rows, kind="stable")
             cut = np.searchsorted(rows[order], np.arange(b - a + 1))
             found = found[order]
-            out += [np.unique(found[x:y]).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                kinds, counts = np.unique(found[x:y], return_counts=True)
+                out.append(kinds.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["role", "features"])
 
 
@@ -104,23 +107,28 @@ def _select(roles: np.ndarray, sets: list[np.ndarray], prior: float, least: int
     return np.sort(chosen[g[rank][: most] > 11])
 
 
-def train(roles: np.ndarray, sets: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> Model:
-    """Fit from each sampled text's role (1 positive, 0 unlabelled) and features, by Adam on the non-negative risk."""
+def weight_of(counts: np.ndarray) -> np.ndarray:
+    """What a feature counts for that occurs so often."""
+    return np.log2(1 + np.minimum(counts, 15))
+
+
+def train(roles: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> Model:
+    """Fit from each sampled text's role (1 positive, 0 unlabelled), features and their counts, by Adam on the non-negative risk."""
     chosen = _select(roles, sets, prior)
-    rows, cols = [], []
-    for k, s in enumerate(sets):
-        own = np.searchsorted(chosen, s)
-        own = own[(own < len(chosen))] if len(chosen) else own[:0]
-        own = np.unique(own[np.isin(chosen[own], s)]) if len(own) else own
+    rows, cols, values = [], [], []
+    for k, (s, c) in enumerate(zip(sets, counts, strict=True)):
+        place = np.minimum(np.searchsorted(chosen, s), max(len(chosen) - 1, 0))
+        own = np.flatnonzero(chosen[place] == s) if len(chosen) else place[:0]
         rows.append(np.full(len(own), k))
-        cols.append(own)
-    rows, cols = np.concatenate(rows), np.concatenate(cols)
+        cols.append(place[own])
+        values.append(weight_of(c[own]))
+    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
     positive, other = roles == 1, roles == 0
     n, m = max(positive.sum(), 1), max(other.sum(), 1)
     w, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     moment, speed = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, rounds + 1):
-        margin = bias + np.bincount(rows, w[cols], len(sets))
+        margin = bias + np.bincount(rows, w[cols] * values, len(sets))
         p = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
         loss = np.logaddexp(0, margin)  # of calling a text not toxic's opposite: the loss for label 0
         negative = loss[other].sum() / m - prior * loss[positive].sum() / n
@@ -128,7 +136,7 @@ def train(roles: np.ndarray, sets: list[np.ndarray], prior: float, rounds: int =
             slope = positive * (prior / n * (p - 1) - prior / n * p) + other * (p / m)
         else:
             slope = -(other * (p / m) - positive * (prior / n * p))
-        g = np.append(np.bincount(cols, slope[rows], len(w)) + decay * w / max(len(w), 1) ** 0.5, slope.sum())
+        g = np.append(np.bincount(cols, slope[rows] * values, len(w)) + decay * w / max(len(w), 1) ** 0.5, slope.sum())
         moment = 0.9 * moment + 0.1 * g
         speed = 0.999 * speed + 0.001 * g * g
         move = rate * (moment / (1 - 0.9**step)) / (np.sqrt(speed / (1 - 0.999**step)) + 1e-8)
@@ -152,9 +160,9 @@ def _scorer(model_of, text: int):
                     near = np.flatnonzero(number >= 0)
                     near = near[model.features[number[near]] == found[near]]
                     hits.append(row[own[near]] * np.int64(len(model.features)) + number[near])
-                hit = np.unique(np.concatenate(hits))
+                hit, count = np.unique(np.concatenate(hits), return_counts=True)
                 if len(hit):
-                    margin[a:b] += np.bincount(hit // len(model.features), model.weights[hit % len(model.features)], b - a)
+                    margin[a:b] += np.bincount(hit // len(model.features), model.weights[hit % len(model.features)] * weight_of(count), b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], [*batch.schema.names, "__score"])
 
     return run
@@ -180,8 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     texts = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("role", "text")
     rows = texts.mapInArrow(_distinct_features, "role int, features binary").toArrow()
     roles = rows.column(0).to_numpy()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(1)]
-    return train(roles, sets, prior) if (roles == 1).any() else None
+    packed = [x.as_py() for x in rows.column(1)]
+    sets, counts = [np.frombuffer(x, np.uint64, len(x) // 9) for x in packed], [np.frombuffer(x, np.uint8, -1, len(x) // 9 * 8) for x in packed]
+    return train(roles, sets, counts, prior) if (roles == 1).any() else None
 
 
 def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

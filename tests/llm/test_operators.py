@@ -312,7 +312,8 @@ def test_risk_is_non_negative_learning():
     good = [np.unique(rng.integers(100, 400, 30).astype(np.uint64)) for _ in range(300)]
     bad = [np.unique(np.append(rng.integers(100, 400, 30), rng.integers(0, 5, 3)).astype(np.uint64)) for _ in range(60)]
     roles = np.array([1] * 40 + [0] * 320)
-    model = toxicity.train(roles, bad[:40] + good + bad[40:], 0.1)
+    sets = bad[:40] + good + bad[40:]
+    model = toxicity.train(roles, sets, [np.ones(len(s), np.uint8) for s in sets], 0.1)
     margin = lambda s: model.bias + model.weights[np.isin(model.features, s)].sum()
     assert min(map(margin, bad)) > max(map(margin, good))
 
