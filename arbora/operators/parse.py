@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -98,12 +99,13 @@ class _File:
         except (SyntaxError, ValueError, RecursionError) as error:
             self.add("file", flag=False, text=f"{type(error).__name__}: {getattr(error, 'msg', error)}", end_line=self.source.count("\n") + 1)
             return self.rows
+        self.walked = list(ast.walk(tree))
         self.add("file", flag=True, label=ast.get_docstring(tree), end_line=self.source.count("\n") + 1)
         spans = self._brief(tree)
-        imports = self._import_map(tree)
-        self._calls(tree, spans, imports)
-        self._local_types(tree, spans, imports)
-        self._names(tree)
+        imports = self._import_map()
+        self._calls(spans, imports)
+        self._local_types(spans, imports)
+        self._names()
         self._findings(tree)
         return self.rows
 
@@ -153,11 +155,11 @@ class _File:
             self.add("span", qualname=qualname, name=qualname.rsplit(".", 1)[-1], line=line, end_line=end_line)
         return spans
 
-    def _import_map(self, tree: ast.Module) -> dict[str, str]:
+    def _import_map(self) -> dict[str, str]:
         """Local name to qualified name for imports anywhere in the file; the last one walked wins."""
         package = [p for p in module_name(self.rel_path).split(".") if p]
         found: dict[str, str] = {}
-        for node in ast.walk(tree):
+        for node in self.walked:
             if isinstance(node, ast.Import):
                 found |= {a.asname or a.name.partition(".")[0]: a.name for a in node.names}
             elif isinstance(node, ast.ImportFrom):
@@ -168,13 +170,13 @@ class _File:
             self.add("import_map", name=local, qualname=qualified)
         return found
 
-    def _calls(self, tree: ast.Module, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
+    def _calls(self, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
         """Calls with what the file itself says of them: the innermost function, what the names were imported as, and a local function of the name."""
         inside: dict[int, str] = {}
         for qualname, first, last in sorted(reversed(spans), key=lambda s: s[1]):  # later starts go over earlier ones
             inside |= dict.fromkeys(range(first, last + 1), qualname)
         local = {qualname.rsplit(".", 1)[-1]: qualname for qualname, _, _ in spans}
-        for node in ast.walk(tree):
+        for node in self.walked:
             if not isinstance(node, ast.Call) or not isinstance(node.func, (ast.Name, ast.Attribute)):
                 continue
             chain = dotted(node.func)
@@ -182,11 +184,12 @@ class _File:
             receiver = chain[0] if chain and len(chain) > 1 else None
             self.add("call", line=node.lineno, col=node.col_offset, label=".".join(chain) if chain else name, name=name, receiver=receiver, chain=chain or [], qualname=inside.get(node.lineno), text=local.get(name), first=imports.get(receiver), second=imports.get(name))
 
-    def _local_types(self, tree: ast.Module, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
+    def _local_types(self, spans: list[tuple[str, int, int]], imports: dict[str, str]) -> None:
         """Variables of a function with the class or name that they were assigned, through aliases."""
-        assigned = [(n.lineno, t.id, n.value) for n in ast.walk(tree) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)]
+        assigned = sorted(((n.lineno, k, t.id, n.value) for k, n in enumerate(self.walked) if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)), key=lambda x: x[:2])
+        lines = [x[0] for x in assigned]
         for qualname, first, last in spans:
-            own = [(target, value) for line, target, value in assigned if first <= line <= last]
+            own = [(target, value) for _, _, target, value in assigned[bisect_left(lines, first) : bisect_right(lines, last)]]
             types: dict[str, str] = {}
             for _ in range(8):  # fixed value: passes over a function
                 before = dict(types)
@@ -214,25 +217,25 @@ class _File:
             if isinstance(node, _DESCENDS):
                 self._fragments(node.body, function, own)
 
-    def _names(self, tree: ast.Module) -> None:
-        for node in ast.walk(tree):
+    def _names(self) -> None:
+        for node in self.walked:
             if isinstance(node, ast.Name):
                 self.add("ref", name=node.id, line=node.lineno, col=node.col_offset, kind=type(node.ctx).__name__.lower())
             elif isinstance(node, ast.Attribute):
                 self.add("ref", name=node.attr, line=node.lineno, col=node.col_offset, kind="attribute")
             elif isinstance(node, ast.Constant) and isinstance(node.value, str) and node.value.isidentifier():
                 self.add("ref", name=node.value, line=node.lineno, col=node.col_offset, kind="string")
-        for node in ast.walk(tree):
+        for node in self.walked:
             if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 self._fragments(node.body, node.name, None)
 
     def _findings(self, tree: ast.Module) -> None:
         lines = self.source.splitlines()
         off = lambda line: bool(0 < line <= len(lines) and SUPPRESS.search(lines[line - 1]))
-        used = {n.id for n in ast.walk(tree) if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Load, ast.Del))}
+        used = {n.id for n in self.walked if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Load, ast.Del))}
         exported = {c.value for n in tree.body if isinstance(n, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "__all__" for t in n.targets) for c in ast.walk(n.value) if isinstance(c, ast.Constant)}
         messages = []
-        for node in ast.walk(tree):
+        for node in self.walked:
             if isinstance(node, (ast.Import, ast.ImportFrom)) and getattr(node, "module", None) != "__future__":
                 for a in node.names:
                     local = a.asname or a.name.partition(".")[0]

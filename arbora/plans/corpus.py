@@ -36,9 +36,14 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return modules.union(packages)
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Files over all cores and more: few rows of much work, which adaptive execution would put together."""
+    return files.repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "rel_path")
+
+
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its parsed rows, parsed once and written, as every relation of a query reads them."""
-    return cut(parse_files(files(spark, sf_dir).repartition("rel_path")))
+    return cut(parse_files(spread(files(spark, sf_dir))))
 
 
 #: The same project as relations: ``f`` functions with their first line - 1 in ``b``, ``m`` modules with ``c`` imports and ``k`` functions.

@@ -211,7 +211,7 @@ def facet_changes(spark, sf_dir):
     kind = F.when(kind != "", F.pmod(F.try_to_number(kind, F.lit("99999")).cast("int"), F.lit(4)))
     changed = F.when(kind == 0, F.replace("source", F.lit("        self.step()"), F.lit("        self.stop()"))).when(kind == 1, F.replace("source", F.lit("import json"), F.lit("import math"))).when(kind == 2, F.regexp_replace("source", r"(?m)^G_", "H_")).otherwise(F.col("source"))
     new = old.withColumn("source", changed)
-    return structure.changed_layers(*[structure.signatures(parse_files(v.repartition("rel_path")), v) for v in (old, new)])
+    return structure.changed_layers(*[structure.signatures(parse_files(corpus.spread(v)), v) for v in (old, new)])
 
 
 @query(corpus.SQL + "SELECT DISTINCT split_part('os', '.', 1) AS package FROM m WHERE false")
