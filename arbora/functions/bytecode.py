@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dis
 import io
+import marshal
 import types
 from collections.abc import Iterator
 
@@ -34,3 +35,19 @@ def disassemble(files: DataFrame, optimize: int = 0) -> DataFrame:
             yield pd.DataFrame({"rel_path": frame["rel_path"], "disassembly": [listing(s or "", p, optimize) for p, s in zip(frame["rel_path"], frame["source"], strict=True)]})
 
     return files.select("rel_path", "source").mapInPandas(run, "rel_path string, disassembly string")
+
+
+def compiled(files: DataFrame, optimize: int = 0) -> DataFrame:
+    """rel_path and the marshalled code of every file; null where it does not compile."""
+
+    def one(source: str, name: str) -> bytes | None:
+        try:
+            return marshal.dumps(compile(source, name, "exec", optimize=optimize, dont_inherit=True))
+        except (SyntaxError, ValueError):
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"rel_path": frame["rel_path"], "code": [one(s or "", p) for p, s in zip(frame["rel_path"], frame["source"], strict=True)]})
+
+    return files.select("rel_path", "source").mapInPandas(run, "rel_path string, code binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -27,6 +28,14 @@ class Graph:
                 e.setdefault("provenance", "ast")
         return {"version": str(version), "meta": self.meta, "nodes": nodes, "edges": edges}
 
+    def to_json(self, version: int = 2) -> str:
+        return json.dumps(self.to_dict(version), indent=2, sort_keys=True)
+
+
+def node_json(nodes: DataFrame) -> DataFrame:
+    """id, json: each node as a document, without what it does not have."""
+    return nodes.select("id", F.to_json(F.struct(*sorted(nodes.columns)), {"ignoreNullFields": "true"}).alias("json"))
+
 
 def first_wins(rows: DataFrame, key: str = "id", order: str = "ord") -> DataFrame:
     """One row for each key, the first by ``order``; pre-aggregated before the shuffle."""
@@ -48,15 +57,26 @@ def closure(edges: DataFrame, seeds: DataFrame, source: str = "callee_id", targe
     step = cut(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct().repartition("node"))
     # A seed is expanded once at its start, and is part of the result only if an edge leads back to it.
     frontier = cut(seeds.select("seed", "node").distinct())
-    seen = None
+    seen: list[DataFrame] = []
     for _ in range(rounds):
-        reached = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
-        new = cut(reached if seen is None else reached.join(seen, ["seed", "node"], "left_anti"))
+        new = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
+        if seen:
+            new = new.join(_all(seen), ["seed", "node"], "left_anti")
+        new = cut(new)
         if new.isEmpty():
             break
-        seen = new if seen is None else cut(seen.union(new))
+        seen.append(new)
+        if len(seen) > 16:  # few tables to read, and none is written more than a few times
+            seen = [cut(_all(seen))]
         frontier = new
-    return seen if seen is not None else seeds.select("seed", "node").limit(0)
+    return _all(seen) if seen else seeds.select("seed", "node").limit(0)
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
 
 
 def impact(edges: DataFrame, imports: DataFrame, functions: DataFrame, target: str, resolved: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -84,3 +84,43 @@ def summary(resolved: DataFrame) -> DataFrame:
 def unresolved_packages(resolved: DataFrame) -> DataFrame:
     """Top-level names of absolute imports that nothing resolves."""
     return resolved.where("bucket = 'unresolved' and level = 0").select(F.substring_index("module", ".", 1).alias("package")).distinct()
+
+
+def dir_modules(paths: DataFrame, column: str = "rel_path") -> DataFrame:
+    """All importable dotted names under a directory: modules, and packages by their prefixes."""
+    name = names.module_name(F.col(column))
+    parts = F.split(name, r"\.")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
+    return paths.where(name != "").select(F.explode(prefixes).alias("module")).distinct()
+
+
+def on_line(parsed: DataFrame, line: int) -> DataFrame:
+    """Imports that a line holds: rel_path, name, items."""
+    return table(parsed, "import").where(F.col("line") == line).select("rel_path", "name", "label")
+
+
+def install_hint(packages: DataFrame) -> str | None:
+    """What to install for packages that nothing resolves; None if there are none."""
+    missing = sorted(r["package"] for r in packages.collect())
+    return "pip install " + " ".join(missing) if missing else None
+
+
+def diagram(parsed: DataFrame, resolved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Boxes (path, title, kind, classes, funcs, globs, docstring) and connections (source, target, label) of an import diagram.
+
+    Connections between the same boxes are one, with their labels in order.
+    """
+    parts = names.basename(F.col("rel_path"))
+    package = F.element_at(F.split("rel_path", "/"), -2)
+    title = F.when((parts == "__init__.py") & F.contains("rel_path", F.lit("/")), F.concat(package, F.lit("(__init__)"))).otherwise(F.regexp_replace(parts, r"\.py$", ""))
+    defs = table(parsed, "def").where("depth = 0").groupBy("rel_path").agg(F.count_if(F.col("kind") == "class").alias("classes"), F.count_if(F.col("kind") == "function").alias("funcs"))
+    globs = table(parsed, "global").groupBy("rel_path").agg(F.count("*").alias("globs"))
+    own = table(parsed, "file").join(defs, "rel_path", "left").join(globs, "rel_path", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    boxes = own.select(F.col("rel_path").alias("path"), title.alias("title"), F.lit("project").alias("kind"), count("classes"), count("funcs"), count("globs"), "docstring")
+    kind = F.when(F.col("bucket") == "system", "system").when(F.col("bucket") == "other", "other").otherwise("unknown")
+    zero = F.lit(0).cast("bigint")
+    outside = resolved.where("target_path is null").select(F.col("name").alias("path"), F.col("name").alias("title"), kind.alias("kind"), zero.alias("classes"), zero.alias("funcs"), zero.alias("globs"), F.lit(None).cast("string").alias("docstring")).dropDuplicates(["path"])
+    ends = resolved.select(F.col("rel_path").alias("source"), F.coalesce("target_path", "name").alias("target"), "label").where("source <> target")
+    merged = ends.groupBy("source", "target").agg(F.array_join(F.array_sort(F.array_remove(F.collect_set("label"), "")), ", ").alias("label"))
+    return boxes.unionByName(outside), merged

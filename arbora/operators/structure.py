@@ -96,3 +96,24 @@ def revision(files: DataFrame, path: str = "rel_path", content_hash: str = "cont
 def symbol_summary(symbols: DataFrame) -> DataFrame:
     """type, n: symbols of each type and, as "total", of all."""
     return symbols.rollup("type").agg(F.count("*").alias("n")).select(F.coalesce("type", F.lit("total")).alias("type"), "n")
+
+
+def signatures_shown(parsed: DataFrame) -> DataFrame:
+    """rel_path, qualname, shown: each definition as it would be written on one line."""
+    defs = table(parsed, "def")
+    call = F.concat(F.when(F.col("is_async"), "async def ").otherwise("def "), "name", F.lit("("), F.coalesce("args", F.lit("")), F.lit(")"))
+    kind = F.concat(F.lit("class "), "name", F.when(F.size("bases") > 0, F.concat(F.lit("("), F.array_join("bases", ", "), F.lit(")"))).otherwise(""))
+    return defs.select("rel_path", "qualname", F.when(F.col("kind") == "class", kind).otherwise(call).alias("shown"))
+
+
+def names_of(parsed: DataFrame) -> DataFrame:
+    """rel_path, qualname, private, protected, static of every definition."""
+    defs = table(parsed, "def")
+    dunder = F.startswith("name", F.lit("__"))
+    return defs.select("rel_path", "qualname", dunder.alias("private"), (F.startswith("name", F.lit("_")) & ~dunder).alias("protected"), F.array_contains(F.split("decorators", ", "), "staticmethod").alias("static"))
+
+
+def flow_text(parsed: DataFrame) -> DataFrame:
+    """rel_path, function, shown: the statement kinds of a function's own level, in order."""
+    rows = table(parsed, "fragment").where("parent_ord is null")
+    return rows.groupBy("rel_path", "function").agg(F.array_join(ordered(F.concat_ws(":", "type_name", F.col("line_start").cast("string")), "ord"), " ").alias("shown"))

@@ -241,6 +241,39 @@ def mermaid_lines(spark, sf_dir):
     return render.mermaid(nodes, spark.createDataFrame([], "from_id string, to_id string, label string"))
 
 
+@query(corpus.SQL + """, d AS (SELECT 'r' || r || '/__init__.py' AS path, 'r' || r || '(__init__)' AS title, 'project' AS kind, 0 AS classes, 0 AS funcs, 0 AS globs FROM m GROUP BY r
+UNION ALL SELECT path, 'n' || n, 'project', 1, k + 1, 1 FROM m UNION ALL SELECT * FROM (VALUES ('os', 'os', 'system', 0, 0, 0), ('json', 'json', 'system', 0, 0, 0)))
+SELECT path, title, kind, CAST(classes AS BIGINT) AS classes, CAST(funcs AS BIGINT) AS funcs, CAST(globs AS BIGINT) AS globs FROM d""")
+def diagram_modules(spark, sf_dir):
+    parsed = corpus.parsed(spark, sf_dir)
+    return imports.diagram(parsed, imports.resolutions(parsed))[0].drop("docstring")
+
+
+@query(corpus.SQL + """SELECT path AS source, tpath AS target, string_agg(DISTINCT 'f_' || t, ', ' ORDER BY 'f_' || t) AS label FROM f WHERE across GROUP BY 1, 2
+UNION ALL SELECT path, 'os', '' FROM m UNION ALL SELECT path, 'json', '' FROM m""")
+def diagram_connections(spark, sf_dir):
+    parsed = corpus.parsed(spark, sf_dir)
+    return imports.diagram(parsed, imports.resolutions(parsed))[1]
+
+
+@query(corpus.SQL + """SELECT path AS rel_path, 'f_' || s AS qualname, 'def f_' || s || '(x)' AS shown FROM f UNION ALL SELECT path, 'use_' || n, 'def use_' || n || '()' FROM m
+UNION ALL SELECT path, 'C_' || n, 'class C_' || n FROM m UNION ALL SELECT path, 'C_' || n || '.run', 'def run(self)' FROM m UNION ALL SELECT path, 'C_' || n || '.step', 'def step(self)' FROM m""")
+def signatures_shown(spark, sf_dir):
+    return structure.signatures_shown(corpus.parsed(spark, sf_dir))
+
+
+@query(corpus.SQL + """SELECT id, '{"id":"' || id || '","name":"f_' || s || '"}' AS json FROM f""")
+def graph_json(spark, sf_dir):
+    nodes = calls.functions(corpus.parsed(spark, sf_dir)).where("qualname like 'f\\_%'").select("id", F.col("qualname").alias("name"))
+    return graph.node_json(nodes)
+
+
+@query("""SELECT DISTINCT unnest(list_transform(range(1, len(p) + 1), lambda k: array_to_string(p[1:k], '.'))) AS module FROM (SELECT ['lib', replace(lower(p_brand), '#', '_'), 'p' || p_size] AS p FROM part)""")
+def dir_modules(spark, sf_dir):
+    path = F.concat(F.lit("lib/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("_")), F.lit("/p"), F.col("p_size").cast("string"), F.lit(".py"))
+    return imports.dir_modules(_read(spark, sf_dir, "part").select(path.alias("rel_path")))
+
+
 @query()
 def disassembly(spark, sf_dir):
     from arbora.functions.bytecode import disassemble

@@ -26,7 +26,7 @@ from arbora.sources import scan
 CATALOG = {
     "tree": "", "symbols": "path?", "lookup": "name", "import_graph": "resolved?", "call_graph": "symbol?", "control_flow": "function_id", "callers": "symbol", "callees": "symbol",
     "impact": "target", "usages": "symbol", "diagnostics": "path", "dead_code": "path?", "explain": "symbol", "import_diagram": "", "dependency_summary": "path?", "symbol_summary": "path?",
-    "render": "kind, target?", "stats": "", "catalog": "", "invalidate": "files", "warm": "", "sql": "text",
+    "render": "kind, target?", "stats": "", "status": "", "catalog": "", "invalidate": "files", "warm": "", "sql": "text",
 }
 
 
@@ -201,6 +201,10 @@ class Workspace:
         self._symbols(), self._edges(), self._functions()
         return self.files.count()
 
+    def status(self) -> dict:
+        """What a client asks first."""
+        return {"root": self.root, "files": self.files.count(), "parsed": self.relation("file").where("is_ok").count(), "queries": dict(self.counts)}
+
     def stats(self) -> dict:
         return {"layers": sorted(self.layers), "queries": dict(self.counts)}
 

@@ -153,3 +153,39 @@ def test_plain_layout(spark):
     assert g.first()["scale"] == 1.0
     assert nodes.first()["id"] == "a b" and nodes.first()["label"] == 'A "x"'
     assert len(found.first()["points"]) == 2
+
+
+def test_encodings_and_bytecode(spark):
+    import marshal
+
+    from arbora.functions import bytecode, encodings
+
+    row = spark.createDataFrame([("UTF8", "# coding: latin-1\n", "iso-8859-1")], "n string, t string, u string").select(encodings.normal_name("n").alias("n"), encodings.agrees(F.col("t"), F.col("u")).alias("ok"), encodings.exists(F.lit("no-such")).alias("no")).first()
+    assert (row["n"], row["ok"], row["no"]) == ("utf-8", True, False)
+    rows = {r["rel_path"]: r["code"] for r in bytecode.compiled(scan.from_rows(spark, {"a.py": "x = 1\n", "b.py": "("})).collect()}
+    assert marshal.loads(rows["a.py"]).co_names == ("x",)
+    assert rows["b.py"] is None
+
+
+def test_status_hints_and_json(workspace):
+    from arbora.operators import imports, structure
+
+    assert workspace.status()["files"] == len(PROJECT)
+    assert imports.install_hint(imports.unresolved_packages(workspace._resolutions())) == "pip install missing_thing"
+    assert imports.on_line(workspace.parsed, 1).where("rel_path = 'pkg/app.py'").first()["name"] == ".utils"
+    assert '"kind": "import_graph"' in workspace.import_graph(False).to_json()
+    assert structure.names_of(workspace.parsed).where("private").count() == 0
+    assert structure.flow_text(workspace.parsed).where("function = 'main'").first()["shown"].count("_CodeBlock") == 3
+
+
+def test_following_a_stream(spark, tmp_path):
+    ws = Workspace(spark, scan.from_rows(spark, {"a.py": "x = 1\n"}))
+    source = tmp_path / "in"
+    spark.createDataFrame([("a.py", 1, "y = 1\n"), ("b.py", 1, "z = 1\n")], "rel_path string, version int, source string").write.parquet(str(source))
+    heard = []
+    stream = spark.readStream.schema("rel_path string, version int, source string").parquet(str(source))
+    running = refresh.follow(ws, stream, str(tmp_path / "check"), lambda n, dropped: heard.append((n, dropped["reverse_index"])))
+    running.processAllAvailable()
+    running.stop()
+    assert heard == [(0, True)]
+    assert sorted(r["name"] for r in ws.relation("global").collect()) == ["y", "z"]
