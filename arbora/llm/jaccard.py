@@ -274,14 +274,17 @@ def _links(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
     one = info.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.struct("fp1", "fp2").alias("f1"), F.col("payload").alias("s1"))
     two = info.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.struct("fp1", "fp2").alias("f2"), F.col("payload").alias("s2"))
     both = pairs.join(one, "a").join(two, "b").where("n1 > 0 and n2 > 0 and 5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1")
-    both, _ = storage.materialize(both.withColumn("same", (F.col("n1") == F.col("n2")) & (F.col("f1") == F.col("f2"))).drop("f1", "f2"), "pairs")
-    left, _ = storage.materialize(both.where("not same").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_refute, "a bigint, b bigint").distinct(), "candidates")
+    both, both_path = storage.materialize(both.withColumn("same", (F.col("n1") == F.col("n2")) & (F.col("f1") == F.col("f2"))).drop("f1", "f2"), "pairs")
+    left, left_path = storage.materialize(both.where("not same").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_refute, "a bigint, b bigint").distinct(), "candidates")
     blocks = left.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.expr("b ^ 0L").alias("hub"), "blocks")
     placed = left.join(blocks, F.col("b") == F.col("hub")).select("a", "hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("slot"))
     need = placed.select(F.col("a").alias("id"), "hub", "slot", F.lit(False).alias("lead")).union(placed.select(F.col("hub").alias("id"), "hub", "slot", F.lit(True).alias("lead")).distinct())
     texts = docs.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("hub", "slot", "id", "lead", "text")
     ordered = texts.repartition("hub", "slot").sortWithinPartitions("hub", "slot", F.desc("lead"))
-    return both.where("same").select("a", "b").union(ordered.mapInArrow(_verify, "a bigint, b bigint"))
+    links, _ = storage.materialize(both.where("same").select("a", "b").union(ordered.mapInArrow(_verify, "a bigint, b bigint")), "links")
+    for path in (both_path, left_path):
+        storage.drop(docs.sparkSession, path)
+    return links
 
 
 def _unordered(pairs: DataFrame) -> DataFrame:
@@ -330,22 +333,26 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     table, _ = storage.materialize(matched, "sketches")
     info = table.where(F.col("kind") == DOC).select("doc_id", "n", "fp1", "fp2", "payload")
     pairs = table.where(F.col("kind") == PAIR).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    links, _ = storage.materialize(_links(pairs, info, docs), "links")
-    rooted, _ = storage.materialize(components.components(links), "components")
+    links = _links(pairs, info, docs)
+    rooted, rooted_path = storage.materialize(components.components(links), "components")
 
     # Keys with rows that were not all compared, and are not all in one component yet.
     member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key")).distinct()
     short = table.where(F.col("kind") == DOC).select(F.col("doc_id").alias("id"), "n", "words").dropDuplicates(["id", "n", "words"])
-    rest, _ = storage.materialize(_open(_placed(member, rooted)).join(short, "id").drop("root", "main"), "open")
+    rest, rest_path = storage.materialize(_open(_placed(member, rooted)).join(short, "id").drop("root", "main"), "open")
     tried = _unordered(pairs)
     for last in [False] * HUBS + [True]:
-        now, _ = storage.materialize(_open(_placed(rest, rooted)), "open")
+        now, now_path = storage.materialize(_open(_placed(rest, rooted)), "open")
         wanted, _ = storage.materialize((_across(now) if last else _to_hubs(now)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        storage.drop(spark, now_path)
         if wanted.isEmpty():
             continue
-        more, _ = storage.materialize(_links(wanted, info, docs), "links")
-        rooted, _ = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
+        more, old_path = _links(wanted, info, docs), rooted_path
+        rooted, rooted_path = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
+        storage.drop(spark, old_path)
         links, tried = links.union(more), tried.union(wanted)
+    storage.drop(spark, rest_path)
+
     every = _unordered(links).distinct()
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = rooted.join(degree, "node", "left")
