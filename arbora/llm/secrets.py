@@ -106,7 +106,8 @@ class BlobLedger:
         new.withColumn("rule_version", F.lit(rule_version)).select("blob", "rule_version", "spans").write.mode("append").parquet(f"{self.path}/findings")
         # Written last: if a run fails before this, its blobs count as unseen and are scanned again.
         work.select(F.col("wanted").alias("blob"), F.lit(rule_version).alias("rule_version")).write.mode("append").parquet(f"{self.path}/seen")
-        known = self.findings().where(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "spans")
+        # As a table of its own, so that the join exchanges both sides and a blob of very many paths can be split.
+        known, _ = storage.materialize(self.findings().where(F.col("rule_version") == rule_version).dropDuplicates(["blob"]).select("blob", "spans"), "known")
         return addressed.join(known, "blob", "left")
 
 
@@ -129,7 +130,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     Overlapping spans are replaced as one.  Rows meet their findings by blob, in a join that adaptive
     execution may split where one blob has very many copies.
     """
-    found = scan(docs, key, text).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    found, _ = storage.materialize(scan(docs, key, text).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "found")
     names = docs.columns
     own = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
     both = own.join(found.withColumnRenamed("blob", "__blob").withColumnRenamed("spans", "__spans"), "__blob", "left")
