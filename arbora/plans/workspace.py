@@ -41,13 +41,12 @@ class Workspace:
         self.parsed = cut(parse_files(self.files, include_async))
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str, **options) -> Workspace:
-        """Scan a directory; its ``.cdm3`` file may name what to leave out."""
-        try:
-            config = json.loads("\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/.cdm3").collect()))
-        except Exception:  # no such file, or not JSON: both mean no configuration
-            config = {}
-        return cls(spark, scan.read_tree(spark, root, exclude=config.get("excludeFromAnalysis", [])), root, **options)
+    def open(cls, spark: SparkSession, root: str, config: str | None = None, **options) -> Workspace:
+        """Scan a directory; ``config`` names a JSON file in it whose ``excludeFromAnalysis`` lists what to leave out."""
+        exclude = []
+        if config is not None:
+            exclude = json.loads("\n".join(r[0] for r in spark.read.text(f"{root.rstrip('/')}/{config}").collect())).get("excludeFromAnalysis", [])
+        return cls(spark, scan.read_tree(spark, root, exclude), root, **options)
 
     def _layer(self, name: str, build):
         with self.lock:

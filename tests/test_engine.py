@@ -189,3 +189,13 @@ def test_following_a_stream(spark, tmp_path):
     running.stop()
     assert heard == [(0, True)]
     assert sorted(r["name"] for r in ws.relation("global").collect()) == ["y", "z"]
+
+
+def test_open_a_directory(spark, tmp_path):
+    for path, source in {"a.py": "import b\n", "b.py": "def f():\n    pass\n", "gen/c.py": "x = 1\n", "project.json": '{"excludeFromAnalysis": ["gen"]}'}.items():
+        (tmp_path / path).parent.mkdir(exist_ok=True)
+        (tmp_path / path).write_text(source)
+    ws = Workspace.open(spark, str(tmp_path), config="project.json")
+    assert [r["rel_path"] for r in ws.tree().collect()] == ["a.py", "b.py"]
+    assert ws.import_graph(False).edges.first()["to_id"] == "file:b.py"
+    assert ws.symbols(str(tmp_path / "b.py")).count() == 2
