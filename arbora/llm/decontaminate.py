@@ -15,8 +15,10 @@ the item has a weighted Jaccard similarity of at least 0.8 with it.
 3. Each such window gets a 64-bit SimHash of its words.  The index has the
    items' fingerprints by 11 blocks of bits; a fingerprint within radius 10
    agrees with the item's in one block at least, so the look-up returns all of
-   them.
-4. The exact weighted-shingle similarity decides.
+   them.  An item is also taken, whatever its fingerprint, if the document has
+   as many of its shingles as a similar window needs.
+4. The exact weighted-shingle similarity decides, over all windows of the
+   document: it changes only where a shared shingle comes in or goes out.
 
 Items with fewer words than five are one shingle of their own length and match
 where their words stand consecutively.
@@ -114,24 +116,40 @@ class Index:
         place = np.minimum(np.searchsorted(known, rolled[at]), len(known) - 1)
         return at[known[place] == rolled[at]]
 
+    def best(self, k: int, shared: list[tuple[int, int]], words: int) -> tuple[float, int]:
+        """Similarity and start of an item's best window, of all that a text of so many words has; shared: place and shingle, by place."""
+        own, n = self.counts[k], min(K, self.sizes[k])
+        width = min(self.sizes[k], words) - n + 1  # shingles of a window
+        have, both, most, start, tail = Counter(), 0, 0, 0, 0
+        for q, s in shared:
+            first = max(q - width + 1, 0)
+            while shared[tail][0] < first:
+                gone = shared[tail][1]
+                both -= have[gone] <= own[gone]
+                have[gone] -= 1
+                tail += 1
+            have[s] += 1
+            both += have[s] <= own[s]
+            if both > most:
+                most, start = both, first
+        return most / (own.total() + width - most), start
+
     def match(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
         """(item, start, words, similarity) of the best window of every item that a text contains."""
-        sizes = {}
+        sizes, shared = {}, defaultdict(list)
         for n, at in hits.items():
             for q, s in zip(at.tolist(), textkit.windows(hashes, n)[at].tolist(), strict=True):
                 for k, p in self.places[n][s]:
                     sizes.setdefault(self.sizes[k], set()).update(range(q - p - SLACK, q - p + SLACK + 1) if n == K else (q,))
-        best: dict[int, tuple[float, int]] = {}
+                    if not shared[k] or shared[k][-1][0] != q:
+                        shared[k].append((q, s))
+        # A window that is similar has 8/18 of the shingles of both; the radius may turn it away all the same.
+        near = {k for k, x in shared.items() if 18 * len(x) >= 8 * (self.counts[k].total() + min(self.sizes[k], len(hashes)) - min(K, self.sizes[k]) + 1)}
         for size, starts in sizes.items():
             for start in sorted({min(max(s, 0), max(len(hashes) - size, 0)) for s in starts}):
-                window = hashes[start : start + size]
-                near = self.near(simhash(window), size)
-                counts = shingle_counts(window) if near else None
-                for k in near:
-                    similarity = weighted_jaccard(self.counts[k], counts)
-                    if 10 * similarity >= 8 - 1e-9 and similarity > best.get(k, (0.0, 0))[0]:
-                        best[k] = (similarity, start)
-        return [(self.ids[k], start, self.sizes[k], similarity) for k, (similarity, start) in sorted(best.items())]
+                near |= self.near(simhash(hashes[start : start + size]), size)
+        best = [(k, *self.best(k, shared.get(k, []), len(hashes))) for k in sorted(near)]
+        return [(self.ids[k], start, self.sizes[k], similarity) for k, similarity, start in best if 10 * similarity >= 8 - 1e-9]
 
 
 def _found(index: Index, column: pa.Array) -> tuple[list[int], list[tuple[int, int, int, float]]]:
@@ -159,6 +177,7 @@ def _search(shared):
             rows, found = _found(shared.value, batch.column(1))
             item, start, size, similarity = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(similarity, pa.float64())], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
+        textkit.release()
 
     return run
 
@@ -168,6 +187,7 @@ def _drop(shared, text: int):
         for batch in batches:
             gone = set(_found(shared.value, batch.column(text))[0])
             yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in gone], pa.int64()))
+        textkit.release()
 
     return run
 

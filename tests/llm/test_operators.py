@@ -460,6 +460,35 @@ def test_decontamination_against_brute_force(spark):
     assert decontaminate.contaminated(frame, bench.where("false")).count() == 0
 
 
+def test_decontamination_finds_edited_ends_and_runs_as_brute_force_does():
+    rnd = random.Random(5)
+    fresh = lambda n: [f"x{rnd.randrange(9000)}" for _ in range(n)]
+    cases, pattern = [], rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    for _ in range(600):
+        item = fresh(rnd.choice((5, 15, 30, 59, 120, 200)))
+        n, m = len(item), rnd.randint(0, max(1, len(item) // 8))
+        at = rnd.randrange(n - m + 1)
+        body = rnd.choice((item[m:], item[: n - m], fresh(m) + item[m:], item[: n - m] + fresh(m), item[:at] + fresh(m) + item[at + m :], item[:at] + fresh(m) + item[at:], item[:at] + item[at + m :], item[at:] + item[:at]))
+        cases.append((" ".join(item), " ".join(fresh(rnd.choice((0, 3, 40))) + body + fresh(rnd.choice((0, 3, 40))))))
+    cases += [("a b c d e a b c d e a b c d e", "z a b c d e a b c d e a b c d y"), ("same " * 9, "same " * 40), ("k l m", "j k l m k l m")]
+    cut = lambda w: Counter(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+    wrong = []
+    for item, doc in cases:
+        v, w = words(item, pattern), words(doc, pattern)
+        best, own = (0.0, 0), cut(v)
+        for a in range(max(1, len(w) - len(v) + 1)):
+            c = cut(w[a : a + len(v)])
+            both = (own & c).total()
+            similarity = both / (own.total() + c.total() - both)
+            if 10 * both >= 8 * (own.total() + c.total() - both) and similarity > best[0]:
+                best = similarity, a
+        want = [(7, best[1], len(v), best[0])] if best[0] else []
+        got = decontaminate._found(decontaminate.Index([(7, item)]), pa.array([doc]))[1]
+        if got != want:
+            wrong.append((got, want))
+    assert not wrong, (len(wrong), sum(not got for got, _ in wrong), wrong[:3])
+
+
 def test_block_index_finds_all_in_the_radius():
     rnd = random.Random(2)
     index = decontaminate.Index([(k, " ".join(f"v{rnd.randrange(50)}" for _ in range(12))) for k in range(200)])
