@@ -187,6 +187,24 @@ def resolve_reference(spark, sf_dir):
     return names.resolve_references(asked, known)
 
 
+#: Every symbol of the project, in ``k``.
+_KNOWN = corpus.SQL + """, k AS (SELECT path || ':' || type || ':' || name AS id, regexp_replace(path, '.*/', '') || ':' || type || ':' || name AS legacy_id, type, name FROM (
+SELECT path, 'function' AS type, 'f_' || s AS name FROM f UNION ALL SELECT path, 'function', 'use_' || n FROM m UNION ALL SELECT path, 'class', 'C_' || n FROM m
+UNION ALL SELECT path, 'global', 'G_' || n FROM m UNION ALL SELECT path, 'module', 'n' || n || '.py' FROM m UNION ALL SELECT DISTINCT 'r' || r || '/__init__.py', 'module', '__init__.py' FROM m))
+"""
+
+
+@query(_KNOWN + """SELECT id AS reference, id, 'resolved' AS outcome FROM k
+UNION SELECT name, CASE WHEN type = 'function' THEN id END, CASE WHEN type = 'function' THEN 'resolved' ELSE 'missing' END FROM k
+UNION SELECT legacy_id, CASE WHEN count(*) = 1 THEN min(id) END, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'missing' END FROM k GROUP BY 1
+UNION SELECT 'no_such', NULL, 'missing'""")
+def resolve_reference_all(spark, sf_dir):
+    """The id, bare name and legacy id of every symbol, beside the few functions of ``resolve_reference``."""
+    known = graph.cut(names.symbols(corpus.parsed(spark, sf_dir)))
+    asked = known.select(F.col("id").alias("reference")).union(known.select("name")).union(known.select("legacy_id")).union(spark.createDataFrame([("no_such",)], "reference string"))
+    return names.resolve_references(asked, known)
+
+
 @query(corpus.SQL + """, l AS (SELECT path || ':global:G_' || n AS id, 'n' || n || '.py:global:G_' || n AS legacy_id FROM m)
 SELECT legacy_id, min(id) AS id FROM l GROUP BY 1 HAVING count(*) = 1""")
 def legacy_alias_unique(spark, sf_dir):

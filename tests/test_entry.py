@@ -34,6 +34,12 @@ def test_query_equals_sql(spark, tables, name):
     assert normal(got) == normal(want)
 
 
+def test_references_are_asked_for_every_symbol(spark):
+    known, got = queries.QUERIES["symbols_nodes"](spark, SMALL), queries.QUERIES["resolve_reference_all"](spark, SMALL)
+    assert known.count() > 150
+    assert known.join(got.where("outcome = 'resolved' and id = reference"), "id", "left_anti").isEmpty()
+
+
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
