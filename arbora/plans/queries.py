@@ -211,6 +211,12 @@ def legacy_alias_unique(spark, sf_dir):
     return names.unique_aliases(names.symbols(corpus.parsed(spark, sf_dir)).where("type = 'global' or name = '__init__.py'"))
 
 
+@query(_KNOWN + "SELECT legacy_id, min(id) AS id FROM k GROUP BY 1 HAVING count(*) = 1")
+def legacy_alias_unique_all(spark, sf_dir):
+    """The aliases of every kind, beside those of globals in ``legacy_alias_unique``."""
+    return names.unique_aliases(names.symbols(corpus.parsed(spark, sf_dir)))
+
+
 @query(corpus.SQL + """SELECT id, replace(path, '/', '__path__') || '__function__f_' || s AS key, id AS back FROM f""")
 def symbol_key_codec(spark, sf_dir):
     ids = calls.functions(corpus.parsed(spark, sf_dir)).where("qualname like 'f\\\\_%'").select("id")

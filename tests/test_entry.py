@@ -7,6 +7,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from arbora.plans import queries
@@ -40,6 +41,11 @@ def test_references_are_asked_for_every_symbol(spark):
     assert known.join(got.where("outcome = 'resolved' and id = reference"), "id", "left_anti").isEmpty()
 
 
+def test_aliases_of_every_kind(spark):
+    got = queries.QUERIES["legacy_alias_unique_all"](spark, SMALL)
+    assert {r["kind"] for r in got.select(F.element_at(F.split("legacy_id", ":"), 2).alias("kind")).distinct().collect()} == {"function", "class", "global", "module"}
+
+
 def test_every_sql_has_a_query():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
