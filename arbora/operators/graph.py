@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 from dataclasses import dataclass, field
 
@@ -48,23 +49,26 @@ def neighbours(edges: DataFrame, column: str, target: str) -> DataFrame:
     return edges.where(F.contains(column, F.lit(target)))
 
 
-def closure(edges: DataFrame, seeds: DataFrame, source: str = "callee_id", target: str = "caller_id", rounds: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame, source: str = "callee_id", target: str = "caller_id", rounds: int | None = None) -> DataFrame:
     """seed, node: all nodes that each seed (seed, node) reaches over one or more edges, from ``source`` to ``target``.
 
     The frontier of all seeds moves one edge a round, without what was seen before; rounds end with an empty
-    frontier and their number is the longest shortest path.  The edges are laid out by their source once.
+    frontier and their number is the longest shortest path; if ``rounds`` are given and run out, that is an error.
+    The edges are laid out by their source once.
     """
     step = cut(edges.select(F.col(source).alias("node"), F.col(target).alias("next")).distinct().repartition("node"))
     # A seed is expanded once at its start, and is part of the result only if an edge leads back to it.
     frontier = cut(seeds.select("seed", "node").distinct())
     seen: list[DataFrame] = []
-    for _ in range(rounds):
+    for k in itertools.count():
         new = frontier.join(step, "node").select("seed", F.col("next").alias("node")).distinct()
         if seen:
             new = new.join(_all(seen), ["seed", "node"], "left_anti")
         new = cut(new)
         if new.isEmpty():
             break
+        if k == rounds:
+            raise RuntimeError(f"the closure did not end in {rounds} rounds")
         seen.append(new)
         if len(seen) > 16:  # few tables to read, and none is written more than a few times
             seen = [cut(_all(seen))]

@@ -1,10 +1,12 @@
 """Fixture projects through the workspace."""
 
+import inspect
+
 import pytest
 
 from arbora import errors
 from arbora.functions import render, text
-from arbora.operators import names
+from arbora.operators import graph, names
 from arbora.operators.parse import parse_source
 from arbora.plans.workspace import Workspace
 from arbora.sources import scan
@@ -128,6 +130,16 @@ def test_parser_details():
     assert ("function", "g") in [(r["kind"], r["qualname"]) for r in parse_source("a.py", "async def g():\n    pass\n", True) if r["tab"] == "def"]
 
 
+def test_closure_ends_with_the_frontier_or_says_that_it_did_not(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(5)], "callee_id int, caller_id int")
+    seed = spark.createDataFrame([(0, 0)], "seed int, node int")
+    assert inspect.signature(graph.closure).parameters["rounds"].default is None
+    assert sorted(r["node"] for r in graph.closure(chain, seed).collect()) == [1, 2, 3, 4, 5]
+    assert graph.closure(chain, seed, rounds=5).count() == 5
+    with pytest.raises(RuntimeError):
+        graph.closure(chain, seed, rounds=4)
+
+
 def test_scan_and_decode(spark, tmp_path):
     (tmp_path / "pkg").mkdir()
     (tmp_path / ".venv").mkdir()
