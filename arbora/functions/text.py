@@ -66,7 +66,7 @@ def decode(files: DataFrame, content: str = "content", project: str | None = Non
             both = [attempt(bytes(r or b""), d, b) for r, d, b in zip(frame[content], frame["__declared"], frame["__mark"], strict=True)]
             yield frame.drop(columns=["__declared", "__mark"]).assign(source=[s for s, _ in both], encoding=[e for _, e in both])
 
-    head = F.decode(F.substring(F.col(content), 1, 400), "iso-8859-1")
+    head = F.substring_index(convert_eol(F.decode(F.col(content), "iso-8859-1")), "\n", 2)
     return files.withColumns({"__declared": coding(head), "__mark": bom(F.col(content))}).mapInPandas(run, schema)
 
 

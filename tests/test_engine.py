@@ -152,6 +152,13 @@ def test_scan_and_decode(spark, tmp_path):
     assert rows["pkg/b.py"]["source"] == "y = 1\n" and rows["pkg/b.py"]["encoding"] == "bom-utf-8"
 
 
+def test_cookie_after_a_long_first_line(spark):
+    long = b"# " + b"-" * 1000
+    rows = [("n", long + b"\n# coding: latin-1\nx = '\xe9'\n"), ("rn", long + b"\r\n# coding: latin-1\r\nx = '\xe9'\r\n"), ("third", b"\n\n# coding: latin-1\nx = '\xe9'\n"), ("r", b"\r\r# coding: latin-1\rx = '\xe9'\r")]
+    got = {r["k"]: r["encoding"] for r in text.decode(spark.createDataFrame(rows, "k string, content binary")).collect()}
+    assert got == {"n": "latin-1", "rn": "latin-1", "third": "utf-8", "r": "utf-8"}
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("One.\n\n    Two.\n      Three.\n    ", "a\r\nb\rc\n")], "d string, t string").select(text.trim_docstring(F.col("d")).alias("d"), text.convert_eol(F.col("t")).alias("t"), names.decode_key(names.encode_key(F.lit("a/b.py:class:C"))).alias("k")).first()
     assert row["d"] == "One.\n\nTwo.\n  Three."
