@@ -9,7 +9,7 @@ grow with the logarithm of the longest path.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arbora.llm import storage
@@ -39,10 +39,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now, path = storage.materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     before = None
     for _ in range(rounds):
-        following, new = storage.materialize(_small_star(_large_star(now)), "stars")
+        seen = Observation()
+        sums = F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")
+        following, new = storage.materialize(_small_star(_large_star(now)).observe(seen, *sums), "stars")
         storage.drop(spark, path)
         now, path = following, new
-        state = now.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")).first()
+        state = seen.get
         if state == before:
             break
         before = state

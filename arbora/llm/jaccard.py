@@ -16,13 +16,19 @@ its empty ones, which keeps the guarantee.
 
 The join's work is bounded whatever the groups are.  Each task first joins its
 own rows by key and forwards one of them, its hub; the keys themselves travel
-as packed arrays.  Rows of a key are compared with the hub (one of eight
-hashings of the ids, by key), survivors of the sketch test are verified on
-their texts, and linked texts become components.  In keys that still hold
-several components, rows outside the largest one meet further hubs, and what
-is then left is compared in all pairs of different components that sizes and a
-short sketch leave possible.  So a group of m copies costs about m comparisons,
-and no link between components is lost.
+as packed arrays.  Equal sets are one class with one representative, and only
+representatives are compared.  Those of a key are compared with the key's hub
+(one of eight hashings of the ids, by key), survivors of the sketch test are
+verified on their texts, and linked texts become components.  In keys that
+still hold several components, representatives outside the largest one meet
+further hubs, as long as that links anything.
+
+What is then left goes through a second pigeonhole among themselves alone.
+There each set takes its d + 1 cheapest chunk keys instead of its fullest, by
+how many pairs of different components a key has, an order that is the same
+for all sets, so two linked sets still share one.  Keys that only one component
+has cost nothing: a text that shares much with a large group, but not enough,
+has chunks of its own and does not meet the group at all.
 
 Defined cases: a text with fewer words than five is one shingle of the whole;
 a null, empty or blank text has an empty set and no link; a null id never
@@ -36,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.llm import components, storage, textkit
@@ -48,13 +54,11 @@ CHUNKS = 0.35
 FLUSH = 1_500_000
 #: 64-bit words of the short sketch that goes with a key's rows.
 WORDS = 8
-#: Further hubs that the rows of a key with several components are compared with before all of its pairs are.
-HUBS = 1
 #: Partners that are verified beside one copy of their hub's text.
 BLOCK = 256
 
 DOC, KEYS, PAIR, MEMBER = 0, 1, 2, 3
-_SCHEMA = "route int, kind int, doc_id bigint, other bigint, n int, fp1 bigint, fp2 bigint, payload binary, words array<bigint>"
+_SCHEMA = "route int, kind int, doc_id bigint, other bigint, n int, fp1 bigint, fp2 bigint, payload binary, sketch array<bigint>, words array<bigint>"
 _U = np.uint64
 _SALTS = np.array([textkit.mix_int(77 + k) for k in range(8)], _U)
 _MASK = (1 << 64) - 1
@@ -76,10 +80,9 @@ def tags(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def chunk_keys(shingles: np.ndarray) -> np.ndarray:
-    """The keys that a set (ascending hashes) is joined by."""
+def _chunk_keys(shingles: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """For each tag of a set (ascending hashes): the tag, how many of its keys are needed, and all its keys."""
     high, scrambled = shingles >> _U(32), textkit.mix(shingles + _U(0x5851F42D4C957F2D))
-    out = []
     for tag, chunks, d in tags(len(shingles)):
         chunk = (high * _U(chunks)) >> _U(32)
         first = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1]]))
@@ -89,13 +92,16 @@ def chunk_keys(shingles: np.ndarray) -> np.ndarray:
         signature = textkit.mix((np.bitwise_xor.reduceat(scrambled, first) ^ salt) + own * _U(0x9E3779B97F4A7C15))
         # The fullest chunks have the smallest keys.
         keys = ((31 - np.minimum(count, 31)).astype(_U) << _U(59)) | (signature >> _U(5))
-        if len(keys) > d + 1:
-            keys = np.partition(keys, d)[: d + 1]
-        elif len(keys) <= d:
+        if len(keys) <= d:
             empty = np.setdiff1d(np.arange(chunks, dtype=_U), own)
             keys = np.append(keys, (_U(31) << _U(59)) | (textkit.mix(empty + salt + _U(1)) >> _U(5)))
-        out.append(keys)
-    return np.concatenate(out)
+            d = len(keys)
+        yield tag, min(d + 1, len(keys)), keys
+
+
+def chunk_keys(shingles: np.ndarray) -> np.ndarray:
+    """The keys that a set is joined by."""
+    return np.concatenate([keys if need == len(keys) else np.partition(keys, need - 1)[:need] for _, need, keys in _chunk_keys(shingles)])
 
 
 def parity_sketch(shingles: np.ndarray, bits: int = 0) -> bytes:
@@ -105,14 +111,13 @@ def parity_sketch(shingles: np.ndarray, bits: int = 0) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """At most the symmetric difference; the longer sketch is folded first."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def sketch_distance(one: Column, two: Column) -> Column:
+    """Hamming distance of two sketches, at most the symmetric difference; one of twice the length is folded first."""
+    bits = lambda x, y: F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    half = lambda x, at: F.slice(x, at, (F.size(x) / 2).cast("int"))
+    folded = lambda x: F.zip_with(half(x, F.lit(1)), half(x, (F.size(x) / 2 + 1).cast("int")), lambda a, b: a.bitwiseXOR(b))
+    both = F.when(F.size(one) == F.size(two), bits(one, two)).when(F.size(one) > F.size(two), bits(folded(one), two)).otherwise(bits(one, folded(two)))
+    return F.aggregate(both, F.lit(0), lambda n, x: n + x)
 
 
 def _join_by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -137,7 +142,7 @@ def _multiple(keys: np.ndarray) -> np.ndarray:
 
 def _rows(**columns) -> pa.RecordBatch:
     n = max(len(v) for v in columns.values())
-    types = (("route", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("payload", pa.binary()), ("words", pa.list_(pa.int64())))
+    types = (("route", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("payload", pa.binary()), ("sketch", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())))
     return pa.RecordBatch.from_arrays([pa.array(columns[k], kind) if k in columns else pa.nulls(n, kind) for k, kind in types], [k for k, _ in types])
 
 
@@ -185,14 +190,14 @@ def _sketch(routes: int):
                     n.append(len(s))
                     fp1.append(int(s.sum()) & _MASK)
                     fp2.append(int(np.bitwise_xor.reduce(textkit.mix(s))) if len(s) else 0)
-                    sketches.append(parity_sketch(s) if len(s) else None)
+                    sketches.append(np.frombuffer(parity_sketch(s), np.int64) if len(s) else None)
                     short.append(np.frombuffer(parity_sketch(s, 64 * WORDS), np.int64))
                     if len(s) and known[k]:
                         keys.append(own := chunk_keys(s))
                         ids.append(np.full(len(own), number[k]))
                         held += len(own)
             as_long = lambda x: np.array(x, _U).view(np.int64)
-            yield _rows(route=(np.arange(len(n)) * 2654435761 + int(number[0] if len(n) else 0)) % 1021, kind=np.full(len(n), DOC), doc_id=doc_ids, n=n, fp1=as_long(fp1), fp2=as_long(fp2), payload=sketches, words=short)
+            yield _rows(route=(np.arange(len(n)) * 2654435761 + int(number[0] if len(n) else 0)) % 1021, kind=np.full(len(n), DOC), doc_id=doc_ids, n=n, fp1=as_long(fp1), fp2=as_long(fp2), sketch=sketches, words=short)
             if held >= FLUSH:
                 yield from _flush(keys, ids, routes)
                 keys, ids, held = [], [], 0
@@ -232,14 +237,6 @@ def _match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     textkit.release()
 
 
-def _refute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose sketches do not exclude a link: a, b."""
-    for batch in batches:
-        sizes = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-        kept = [i for i, (x, y) in enumerate(zip(batch.column("s1"), batch.column("s2"), strict=True)) if sketch_distance(x.as_py(), y.as_py()) * 9 <= sizes[i]]
-        yield batch.select(["a", "b"]).take(pa.array(kept, pa.int64()))
-
-
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     """100 * |a and b| >= 80 * |a or b| of two ascending sets."""
     if len(a) > len(b):
@@ -269,21 +266,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _links(pairs: DataFrame, info: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b: a hub) that link, verified on their texts."""
-    one = info.select(F.col("doc_id").alias("a"), F.col("n").alias("n1"), F.struct("fp1", "fp2").alias("f1"), F.col("payload").alias("s1"))
-    two = info.select(F.col("doc_id").alias("b"), F.col("n").alias("n2"), F.struct("fp1", "fp2").alias("f2"), F.col("payload").alias("s2"))
-    both = pairs.join(one, "a").join(two, "b").where("n1 > 0 and n2 > 0 and 5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1")
-    both, both_path = storage.materialize(both.withColumn("same", (F.col("n1") == F.col("n2")) & (F.col("f1") == F.col("f2"))).drop("f1", "f2"), "pairs")
-    left, left_path = storage.materialize(both.where("not same").select("a", "b", "n1", "n2", "s1", "s2").mapInArrow(_refute, "a bigint, b bigint").distinct(), "candidates")
+def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b: a hub) of representatives that link, verified on their texts."""
+    spark = docs.sparkSession
+    side = lambda k, name: sets.select(F.col("rep").alias(name), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side(1, "a"), "a").join(side(2, "b"), "b").where("5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1")
+    left, left_path = storage.materialize(both.where(9 * sketch_distance(F.col("s1"), F.col("s2")) <= F.col("n1") + F.col("n2")).select("a", "b").distinct(), "candidates")
     blocks = left.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.expr("b ^ 0L").alias("hub"), "blocks")
     placed = left.join(blocks, F.col("b") == F.col("hub")).select("a", "hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("slot"))
     need = placed.select(F.col("a").alias("id"), "hub", "slot", F.lit(False).alias("lead")).union(placed.select(F.col("hub").alias("id"), "hub", "slot", F.lit(True).alias("lead")).distinct())
     texts = docs.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("hub", "slot", "id", "lead", "text")
     ordered = texts.repartition("hub", "slot").sortWithinPartitions("hub", "slot", F.desc("lead"))
-    links, _ = storage.materialize(both.where("same").select("a", "b").union(ordered.mapInArrow(_verify, "a bigint, b bigint")), "links")
-    for path in (both_path, left_path):
-        storage.drop(docs.sparkSession, path)
+    links, _ = storage.materialize(ordered.mapInArrow(_verify, "a bigint, b bigint"), "links")
+    storage.drop(spark, left_path)
     return links
 
 
@@ -291,73 +286,132 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def _placed(member: DataFrame, rooted: DataFrame) -> DataFrame:
-    return member.join(rooted, F.col("id") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "id"))
+def _placed(rows: DataFrame, rooted: DataFrame) -> DataFrame:
+    """``rows`` (with a column ``rep``) with the root of each representative's component."""
+    return rows.join(rooted, F.col("rep") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rep"))
 
 
 def _open(placed: DataFrame) -> DataFrame:
-    """Rows of keys with three rows at least and several components, with the key's largest component, ``main``."""
+    """Rows of keys with several components, with the key's largest one, ``main``, and the pairs across, ``cost``."""
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
-    keys = counts.groupBy("key").agg(F.sum("n_root").alias("n_key"), F.count("*").alias("roots"), F.max(F.struct("n_root", "root"))["root"].alias("main"))
-    keys = keys.where("roots > 1 and n_key > 2").select(F.expr("key ^ 0L").alias("open_key"), "main")
+    square = F.col("n_root").cast("double") * F.col("n_root")
+    keys = counts.groupBy("key").agg(F.sum("n_root").cast("double").alias("all"), F.sum(square).alias("inside"), F.max(F.struct("n_root", "root"))["root"].alias("main"))
+    keys = keys.select(F.expr("key ^ 0L").alias("open_key"), "main", (F.col("all") * F.col("all") - F.col("inside")).alias("cost")).where("cost > 0")
     return placed.join(keys, F.col("key") == F.col("open_key")).drop("open_key")
 
 
-def _to_hubs(rows: DataFrame) -> DataFrame:
-    """Rows outside their key's main component against one row in it, another for each key."""
-    inside = rows.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "id").alias("h"), F.col("id").alias("hub")))["hub"].alias("hub"))
+def _to_hubs(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows outside their key's main component against one row in it, another for each key and turn."""
+    inside = rows.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub")))["hub"].alias("hub"))
     both = rows.where("root <> main").join(inside.select(F.expr("key ^ 0L").alias("hub_key"), "hub"), F.col("key") == F.col("hub_key"))
-    return _unordered(both.select(F.col("id").alias("a"), F.col("hub").alias("b"))).distinct()
+    return both.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _across(rows: DataFrame) -> DataFrame:
-    """All pairs of different components in a key that sizes and short sketches leave possible.
+def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, n, tag, need, key: all keys of every text's set, and how many of a tag's are needed."""
+    for batch in batches:
+        reps = batch.column(0).to_numpy()
+        for a, _, _, _, _, _, hashes, at, _ in textkit.texts_in_runs(batch.column(1)):
+            for k, s in enumerate(textkit.shingle_sets(hashes, at, K), a):
+                for tag, need, keys in _chunk_keys(s) if len(s) else ():
+                    full = lambda x, kind: pa.array(np.full(len(keys), x), kind)  # noqa: B023, E731
+                    columns = [full(reps[k], pa.int64()), full(len(s), pa.int32()), full(tag, pa.int32()), full(need, pa.int32()), pa.array(keys.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["rep", "n", "tag", "need", "key"])
+    textkit.release()
+
 
-    One of a pair is outside the main component; within the main component nothing is compared.
+def _across(reps: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of representatives (rep, root) of different components that a second pigeonhole, sizes and short sketches leave.
+
+    One of a pair is outside its key's main component; within the main component nothing is compared.
     """
-    side = lambda k, at: at.select("key", F.col("id").alias(f"i{k}"), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("words").alias(f"w{k}"), (F.col("root") == F.col("main")).alias(f"m{k}"))
+    spark = docs.sparkSession
+    texts = docs.join(reps.select(F.col("rep").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
+    keys, keys_path = storage.materialize(texts.mapInArrow(_all_keys, "rep bigint, n int, tag int, need int, key bigint").join(reps, "rep"), "keys")
+    cost = _open(keys.select("key", "rep", "root").distinct()).select(F.col("key").alias("k"), "cost", "main").distinct()
+    ranked = keys.join(cost, F.col("key") == F.col("k"), "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    cheapest = Window.partitionBy("rep", "n", "tag").orderBy("cost", "key")
+    kept = ranked.withColumn("place", F.row_number().over(cheapest)).where("place <= need and cost > 0").select("key", "rep", "root", "n", "main")
+    short = sets.select(F.col("rep").alias("of"), F.col("n").alias("size"), "words")
+    kept, kept_path = storage.materialize(kept.join(short, (F.col("rep") == F.col("of")) & (F.col("n") == F.col("size"))).drop("of", "size"), "kept")
+    side = lambda k, at: at.select("key", F.col("rep").alias(f"i{k}"), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("words").alias(f"w{k}"), (F.col("root") == F.col("main")).alias(f"m{k}"))
     distance = " + ".join(f"bit_count(w1[{i}] ^ w2[{i}])" for i in range(WORDS))
-    both = side(1, rows.where("root <> main")).join(side(2, rows), "key")
+    both = side(1, kept.where("root <> main")).join(side(2, kept), "key")
     both = both.where("r1 <> r2 and (m2 or i1 < i2)").where(f"5 * n1 >= 4 * n2 and 5 * n2 >= 4 * n1 and 9 * ({distance}) <= n1 + n2")
-    return _unordered(both.select(F.col("i1").alias("a"), F.col("i2").alias("b"))).distinct()
+    pairs, _ = storage.materialize(both.select(F.col("i1").alias("a"), F.col("i2").alias("b")).distinct(), "pairs")
+    storage.drop(spark, keys_path)
+    storage.drop(spark, kept_path)
+    return pairs
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links (links that were verified)."""
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable by links), n_links.
+
+    ``n_links`` counts the class's links to other classes that were verified on the way, and one more if the class
+    has several rows.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     routes = max(64, 8 * partitions)
     sketched = docs.mapInArrow(_sketch(routes), _SCHEMA)
     matched = sketched.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_match, _SCHEMA)
-    table, _ = storage.materialize(matched, "sketches")
-    info = table.where(F.col("kind") == DOC).select("doc_id", "n", "fp1", "fp2", "payload")
+    table, table_path = storage.materialize(matched, "sketches")
+
+    # Equal sets are one class; its representative is its smallest id.
+    rows = table.where(F.col("kind") == DOC).select("doc_id", "n", "fp1", "fp2")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    classes = classes.select(F.col("n").alias("size"), F.expr("fp1 ^ 0L").alias("f1"), F.expr("fp2 ^ 0L").alias("f2"), "rep", "copies")
+    info, _ = storage.materialize(rows.join(classes, (F.col("n") == F.col("size")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left").select("doc_id", "n", "fp1", "fp2", "rep", "copies"), "classes")
+    of = info.where("doc_id is not null and rep is not null").select(F.col("doc_id").alias("id"), "rep")
+    sets = table.where(F.col("kind") == DOC).join(info.where("doc_id = rep").select(F.col("rep"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).distinct(), (F.col("doc_id") == F.col("rep")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
+    sets, _ = storage.materialize(sets.select("rep", "n", "sketch", "words").dropDuplicates(["rep", "n", "sketch"]), "sets")
+
     pairs = table.where(F.col("kind") == PAIR).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
-    links = _links(pairs, info, docs)
+    pairs = pairs.join(of.withColumnRenamed("rep", "ra"), F.col("a") == F.col("id")).drop("id").join(of.withColumnRenamed("rep", "rb"), F.col("b") == F.col("id"))
+    tried, _ = storage.materialize(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")
+    links = _links(tried, sets, docs)
+    # An id of several rows connects their classes.
+    repeated = of.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select(F.col("id").alias("of"), "least")
+    links = links.union(of.join(repeated, F.col("id") == F.col("of")).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
     rooted, rooted_path = storage.materialize(components.components(links), "components")
 
-    # Keys with rows that were not all compared, and are not all in one component yet.
-    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key")).distinct()
-    short = table.where(F.col("kind") == DOC).select(F.col("doc_id").alias("id"), "n", "words").dropDuplicates(["id", "n", "words"])
-    rest, rest_path = storage.materialize(_open(_placed(member, rooted)).join(short, "id").drop("root", "main"), "open")
-    tried = _unordered(pairs)
-    for last in [False] * HUBS + [True]:
-        now, now_path = storage.materialize(_open(_placed(rest, rooted)), "open")
-        wanted, _ = storage.materialize((_across(now) if last else _to_hubs(now)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        storage.drop(spark, now_path)
-        if wanted.isEmpty():
-            continue
-        more, old_path = _links(wanted, info, docs), rooted_path
-        rooted, rooted_path = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
-        storage.drop(spark, old_path)
-        links, tried = links.union(more), tried.union(wanted)
+    # Keys with representatives that were not all compared, and are not all in one component yet.
+    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key"))
+    member = _placed(member.join(of, "id").select("rep", "key").distinct(), rooted)
+    some = member.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select(F.expr("key ^ 0L").alias("open_key"))
+    rest, rest_path = storage.materialize(member.join(some, F.col("key") == F.col("open_key")).select("rep", "key"), "open")
+    storage.drop(spark, table_path)
+    turn, settled = 0, False
+    while True:
+        now = _open(_placed(rest, rooted))
+        if settled:
+            wanted = _across(now.select("rep", "root").distinct(), sets, docs)
+        else:
+            wanted = _to_hubs(now, turn)
+        known = _unordered(tried).distinct().select(F.col("a").alias("x"), F.col("b").alias("y"))
+        new = wanted.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+        wanted, _ = storage.materialize(new, "pairs")
+        more = _links(wanted, sets, docs)
+        linked = not more.isEmpty()
+        if linked:
+            old_path = rooted_path
+            rooted, rooted_path = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
+            storage.drop(spark, old_path)
+            links, tried = links.union(more), tried.union(wanted)
+        if settled:
+            break
+        turn, settled = turn + 1, not linked
     storage.drop(spark, rest_path)
 
     every = _unordered(links).distinct()
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
     found = rooted.join(degree, "node", "left")
-    return info.join(found, F.col("doc_id") == F.col("node"), "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+    return info.join(found, F.col("rep") == F.col("node"), "left").select(
+        "doc_id",
+        F.col("n").cast("long").alias("n_shingles"),
+        F.coalesce("root", "rep", "doc_id").alias("component_id"),
+        (F.coalesce("n_links", F.lit(0)) + F.when(F.col("copies") > 1, 1).otherwise(0)).alias("n_links"),
     )
 
 
@@ -367,5 +421,5 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     Rows that repeat an id stay or go together.
     """
     groups = similar_groups(docs, key, text)
-    gone, _ = storage.materialize(groups.where("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(gone.select(F.col("doc_id").alias("__gone")), F.col(key) == F.col("__gone"), "left_anti")
+    gone, _ = storage.materialize(groups.where("component_id <> doc_id").select(F.col("doc_id").alias(storage.free_name(docs, "gone"))).distinct(), "copies")
+    return docs.join(gone, F.col(key) == F.col(gone.columns[0]), "left_anti")

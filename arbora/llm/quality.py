@@ -59,7 +59,7 @@ def _distinct(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def statistics(column: pa.Array) -> np.ndarray:
     """One row of ``NAMES`` for each text, transformed to be closer to normal."""
     out = np.zeros((len(column), len(NAMES)))
-    for a, b, data, offsets, starts, ends, hashes, at, sums in textkit.texts_in_runs(column):
+    for a, b, data, offsets, starts, ends, hashes, at, _ in textkit.texts_in_runs(column):
         size, n = np.diff(offsets).astype(float), np.diff(at).astype(float)
         kinds, most = _distinct(hashes, at)
         breaks = np.flatnonzero(data == 10)
@@ -68,7 +68,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         begin = np.sort(begin[begin <= len(data)], kind="stable")
         row = np.minimum(np.searchsorted(offsets, begin, "right") - 1, b - a - 1)
         ended = np.append(begin[1:], len(data))
-        lines = textkit.slices(sums, begin, np.maximum(begin, ended)) if len(begin) else np.zeros(0, np.uint64)
+        lines = textkit.hash_slices(textkit.LOWER[data], begin, np.maximum(begin, ended)) if len(begin) else np.zeros(0, np.uint64)
         line_kinds, _ = _distinct(lines, np.searchsorted(row, np.arange(b - a + 1)))
         n_lines = np.bincount(row, minlength=b - a)
         last = data[ends - 1] if len(ends) else np.zeros(0, np.uint8)

@@ -47,3 +47,11 @@ def drop(spark: SparkSession, path: str) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name like the wanted one that ``df`` does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

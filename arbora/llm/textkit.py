@@ -1,8 +1,9 @@
 """Vectorised words, word hashes and shingles over Arrow string columns.
 
 All functions work on whole texts as UTF-8 bytes.  A word's 64-bit hash is a
-polynomial over its bytes taken from prefix sums, so a batch of texts costs a
-few passes over one byte array instead of a Python object for each word.
+sum over its bytes, each one's random value times that of its place in the
+word, taken from prefix sums, so a batch of texts costs a few passes over one
+byte array instead of a Python object for each word.
 """
 
 from __future__ import annotations
@@ -15,11 +16,10 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte.
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_LENGTH = U64(0x9E3779B97F4A7C15)
 
 #: ASCII upper case to lower case; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -33,19 +33,6 @@ NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_powers = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            table = np.full(size, U64(base))
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=U64)
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the SplitMix64 finaliser)."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -53,6 +40,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_places = [np.zeros(0, U64)]
+
+
+def _place_values(n: int) -> np.ndarray:
+    """An odd pseudo-random multiplier for each place in a word."""
+    if len(_places[0]) < n:
+        _places[0] = mix(np.arange(max(n, 1 << 12), dtype=U64) + U64(0xD1B54A32D192ED03)) | U64(1)
+    return _places[0]
+
+
 def mix_int(x: int) -> int:
     return int(mix(np.array([x & (1 << 64) - 1], U64))[0])
 
@@ -92,9 +89,6 @@ def words(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray = NOT_SPACE)
         return none, none, np.zeros(0, U64), np.zeros(len(offsets), np.int64), np.zeros(1, U64)
     low = LOWER[data]
     inside = chars[low]
-    power, inverse = _power_tables(n + 1)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE[low] * power[:n], out=sums[1:])
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -102,20 +96,33 @@ def words(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray = NOT_SPACE)
     begin, end = offsets[:-1][full], offsets[1:][full] - 1
     first[begin], last[end] = inside[begin], inside[end]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts])
-    return starts, ends, hashes, np.searchsorted(starts, offsets), sums
+    sums = _prefix_sums(low, starts, ends)
+    return starts, ends, slices(sums, starts, ends), np.searchsorted(starts, offsets), sums
+
+
+def _prefix_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums over the bytes of all ranges, each byte's value times that of its place in its range.
+
+    Places have values of their own, no powers of a base: modulo 2^64 those have words that always agree.
+    """
+    n = len(data)
+    size = ends - starts
+    value = np.zeros(n + 1, U64)
+    if len(size):
+        own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+        place = own - np.repeat(starts, size)
+        value[own + 1] = _BYTE[data[own]] * _place_values(int(size.max()))[place]
+    return np.cumsum(value, dtype=U64)
 
 
 def slices(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of any byte ranges, equal to those of words with the same bytes."""
-    return mix((sums[ends] - sums[starts]) * _power_tables(len(sums))[1][starts])
+    """Hashes of words or beginnings of words, equal to those of words with the same bytes."""
+    return mix(sums[ends] - sums[starts] + (ends - starts).astype(U64) * _LENGTH)
 
 
 def hash_slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges as they stand, without lower-casing."""
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=sums[1:])
-    return slices(sums, starts, ends)
+    """Hashes of disjoint byte ranges as they stand, without lower-casing."""
+    return slices(_prefix_sums(data, starts, ends), starts, ends)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

@@ -65,6 +65,15 @@ def pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[keep], ends[keep]
 
 
+def _agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each piece has the bytes of the piece it is taken for."""
+    size = ends - starts
+    if not np.array_equal(size, size[like]):
+        return False
+    own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return np.array_equal(data[own], data[own + np.repeat(starts[like] - starts, size)])
+
+
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
@@ -79,21 +88,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[int, int] = {}
+        self.number: dict[bytes, int] = {}
         self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """By the library alone."""
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, data: bytes, spans: list[tuple[int, int]], hashes: list[int]) -> None:
-        joined = [b" ".join(data[a:b] for a, b in spans[k : k + 500]).decode() for k in range(0, len(spans), 500)]
+    def _learn(self, keys: list[bytes]) -> None:
+        joined = [b" ".join(keys[k : k + 500]).decode() for k in range(0, len(keys), 500)]
         ids = np.concatenate(self.whole(joined))
         last = np.flatnonzero(self.ends_piece[ids])
         first = np.concatenate([[0], last[:-1] + 1])
-        if len(last) != len(spans):
+        if len(last) != len(keys):
             raise RuntimeError("pieces and ids do not agree")
-        self.number.update(zip(hashes, range(len(self.offset), len(self.offset) + len(spans)), strict=True))
+        self.number.update(zip(keys, range(len(self.offset), len(self.offset) + len(keys)), strict=True))
         self.offset = np.concatenate([self.offset, first + len(self.flat)])
         self.size = np.concatenate([self.size, last + 1 - first])
         self.flat = np.concatenate([self.flat, ids])
@@ -106,13 +115,14 @@ class Encoder:
         starts, ends = pieces(data, offsets)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * len(texts)
-        distinct, first, place = np.unique(textkit.hash_slices(data, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        _, first, place = np.unique(textkit.hash_slices(data, starts, ends), return_index=True, return_inverse=True)
+        if not _agree(data, starts, ends, first[place]):
+            return self.whole(texts)
+        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.number) > REMEMBERED:
             self._forget()
-        if fresh := [k for k, h in enumerate(keys) if h not in self.number]:
-            where = first[fresh]
-            self._learn(raw, list(zip(starts[where].tolist(), ends[where].tolist(), strict=True)), [keys[k] for k in fresh])
+        if fresh := [k for k in keys if k not in self.number]:
+            self._learn(fresh)
         number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[place]
         size = self.size[number]
         after = np.cumsum(size)

@@ -112,12 +112,66 @@ def test_pigeonhole_and_sketch_bounds(n):
         for b_size in (n, n + n // 9, n + n // 5):
             gone = rng.integers(0, n // 9 + 1)
             b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 63, max(0, b_size - n + gone), dtype=np.uint64)]))
-            difference = len(np.setxor1d(a, b))
-            assert jaccard.sketch_distance(jaccard.parity_sketch(a), jaccard.parity_sketch(b)) <= difference
             if jaccard.similar(a, b):
                 assert np.intersect1d(jaccard.chunk_keys(a), jaccard.chunk_keys(b)).size
 
 
+def test_sketch_distance_is_a_lower_bound(spark):
+    rng = np.random.default_rng(6)
+    rows, differences = [], []
+    for n in (5, 20, 60, 64, 70, 127, 128, 140, 500):
+        for m in (n, n + n // 5, n - n // 6):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.concatenate([a[n // 10 :], rng.integers(0, 1 << 63, max(0, m - n + n // 10), dtype=np.uint64)]))
+            rows.append([np.frombuffer(jaccard.parity_sketch(x), np.int64).tolist() for x in (a, b)])
+            differences.append(len(np.setxor1d(a, b)))
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, a array<bigint>, b array<bigint>")
+    got = dict(frame.select("k", jaccard.sketch_distance(F.col("a"), F.col("b"))).collect())
+    assert all(0 < got[k] <= d for k, d in enumerate(differences) if d)
+    assert sum(got.values()) > 0.7 * sum(differences)
+
+
+def test_jaccard_large_group_just_below_the_threshold(spark):
+    """Texts of one group, most pairs of which are a little less similar than a link needs, some a little more."""
+    rnd = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(400):
+        own = list(base)
+        for at in rnd.sample(range(120), rnd.choice((1, 2, 2, 3, 3, 3, 4))):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(frame).collect()}
+    want = groups_by_force(rows)
+    assert len({root for _, root in want.values()}) > 20
+    assert got == want
+
+
+def thue_morse():
+    """Two words of 2,048 letters that hashes by powers modulo 2^64 cannot tell apart."""
+    one = "a"
+    while len(one) < 2048:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_power_hashes_confuse(spark):
+    one, two = thue_morse()
+    data, offsets = textkit.utf8(pa.array([one, two, one]))
+    hashes = textkit.words(data, offsets)[2].tolist()
+    assert hashes[0] == hashes[2] != hashes[1]
+    rows = [(1, f"{one} {two}"), (2, f"{one} {one}"), (3, f"{two} {one}"), (4, " ".join([one, two] * 5)), (5, " ".join([one] * 10))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == groups_by_force(rows)
+    encoder = tokens.Encoder()
+    some = [one, two, f"{two} {one}"]
+    assert [x.tolist() for x in encoder.encode(some)] == [x.tolist() for x in encoder.whole(some)]
+    index = decontaminate.Index([(7, " ".join([one] * 6))])
+    assert decontaminate._found(index, pa.array([" ".join([two] * 6)]))[1] == []
+
+
 def test_jaccard_empty_table_null_ids_and_repeats(spark):
     empty = spark.createDataFrame([], DOCS)
     assert jaccard.similar_groups(empty).count() == 0
