@@ -23,7 +23,7 @@ def _least(pairs: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = _least(both).select("w", F.least("w", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -33,21 +33,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(joined.where("v = m").select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """node, root: the smallest id reachable from every node that has an edge to another one."""
+def _rooted(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60, settle: bool = True) -> DataFrame:
+    """node, root: the smallest id reachable from every node that has an edge to another one.
+
+    Without ``settle`` it stops after ``rounds``: a node's roots are then in its component, but it may have several.
+    """
     spark = edges.sparkSession
-    now, path = storage.materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+    now, path, before = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"), None, None
     for _ in range(rounds):
         seen = Observation()
         sums = F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0)).alias("h")
         following, new = storage.materialize(_small_star(_large_star(now)).observe(seen, *sums), "stars")
-        storage.drop(spark, path)
+        if path:
+            storage.drop(spark, path)
         now, path = following, new
         state = seen.get
         if state == before:
             break
         before = state
     else:
+        if not settle:
+            return _rooted(now)
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    return _rooted(now)

@@ -19,12 +19,10 @@ own rows by key and forwards one of them, its hub; the keys themselves travel
 as packed arrays.  Equal sets are one class with one representative, and only
 representatives are compared.  Those of a key are compared with the key's hub
 (one of eight hashings of the ids, by key), survivors of the sketch test are
-verified on their texts, and linked texts become components.  In keys that
-still hold several components, representatives outside the largest one meet
-further hubs, as long as that links anything.
+verified on their texts, and linked texts become components.
 
-What is then left goes through a second pigeonhole among themselves alone.
-There each set takes its d + 1 cheapest chunk keys instead of its fullest, by
+Representatives in keys that still hold several components go through a second
+pigeonhole among themselves alone.  There each set takes its d + 1 cheapest chunk keys instead of its fullest, by
 how many pairs of different components a key has, an order that is the same
 for all sets, so two linked sets still share one.  Keys that only one component
 has cost nothing: a text that shares much with a large group, but not enough,
@@ -291,20 +289,12 @@ def _placed(rows: DataFrame, rooted: DataFrame) -> DataFrame:
     return rows.join(rooted, F.col("rep") == F.col("node"), "left").drop("node").withColumn("root", F.coalesce("root", "rep"))
 
 
-def _open(placed: DataFrame) -> DataFrame:
-    """Rows of keys with several components, with the key's largest one, ``main``, and the pairs across, ``cost``."""
+def _costs(placed: DataFrame) -> DataFrame:
+    """k, main, cost: of each key the largest component, and its pairs of rows of different ones."""
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("n_root"))
     square = F.col("n_root").cast("double") * F.col("n_root")
     keys = counts.groupBy("key").agg(F.sum("n_root").cast("double").alias("all"), F.sum(square).alias("inside"), F.max(F.struct("n_root", "root"))["root"].alias("main"))
-    keys = keys.select(F.expr("key ^ 0L").alias("open_key"), "main", (F.col("all") * F.col("all") - F.col("inside")).alias("cost")).where("cost > 0")
-    return placed.join(keys, F.col("key") == F.col("open_key")).drop("open_key")
-
-
-def _to_hubs(rows: DataFrame, turn: int) -> DataFrame:
-    """Rows outside their key's main component against one row in it, another for each key and turn."""
-    inside = rows.where("root = main").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "rep", F.lit(turn)).alias("h"), F.col("rep").alias("hub")))["hub"].alias("hub"))
-    both = rows.where("root <> main").join(inside.select(F.expr("key ^ 0L").alias("hub_key"), "hub"), F.col("key") == F.col("hub_key"))
-    return both.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    return keys.select(F.expr("key ^ 0L").alias("k"), "main", (F.col("all") * F.col("all") - F.col("inside")).alias("cost")).where("cost > 0")
 
 
 def _all_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +318,7 @@ def _across(reps: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.join(reps.select(F.col("rep").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
     keys, keys_path = storage.materialize(texts.mapInArrow(_all_keys, "rep bigint, n int, tag int, need int, key bigint").join(reps, "rep"), "keys")
-    cost = _open(keys.select("key", "rep", "root").distinct()).select(F.col("key").alias("k"), "cost", "main").distinct()
-    ranked = keys.join(cost, F.col("key") == F.col("k"), "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
+    ranked = keys.join(_costs(keys), F.col("key") == F.col("k"), "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
     cheapest = Window.partitionBy("rep", "n", "tag").orderBy("cost", "key")
     kept = ranked.withColumn("place", F.row_number().over(cheapest)).where("place <= need and cost > 0").select("key", "rep", "root", "n", "main")
     short = sets.select(F.col("rep").alias("of"), F.col("n").alias("size"), "words")
@@ -358,56 +347,43 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     matched = sketched.repartition(partitions, "route").sortWithinPartitions("route").mapInArrow(_match, _SCHEMA)
     table, table_path = storage.materialize(matched, "sketches")
 
-    # Equal sets are one class; its representative is its smallest id.
-    rows = table.where(F.col("kind") == DOC).select("doc_id", "n", "fp1", "fp2")
-    classes = rows.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    classes = classes.select(F.col("n").alias("size"), F.expr("fp1 ^ 0L").alias("f1"), F.expr("fp2 ^ 0L").alias("f2"), "rep", "copies")
-    info, _ = storage.materialize(rows.join(classes, (F.col("n") == F.col("size")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left").select("doc_id", "n", "fp1", "fp2", "rep", "copies"), "classes")
-    of = info.where("doc_id is not null and rep is not null").select(F.col("doc_id").alias("id"), "rep")
-    sets = table.where(F.col("kind") == DOC).join(info.where("doc_id = rep").select(F.col("rep"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2")).distinct(), (F.col("doc_id") == F.col("rep")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")))
-    sets, _ = storage.materialize(sets.select("rep", "n", "sketch", "words").dropDuplicates(["rep", "n", "sketch"]), "sets")
-
-    pairs = table.where(F.col("kind") == PAIR).select(F.col("doc_id").alias("a"), F.col("other").alias("b")).distinct()
+    # Equal sets are one class; its representative is its smallest id, and sketches follow from the set.
+    found = table.where(F.col("kind") == DOC)
+    classes = found.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("words").alias("words"))
+    classes, _ = storage.materialize(classes, "classes")
+    sets = classes.select("rep", "n", "sketch", "words")
+    of_set = classes.select(F.col("n").alias("size"), F.col("fp1").alias("f1"), F.col("fp2").alias("f2"), "rep", "copies")
+    rows = found.select("doc_id", "n", "fp1", "fp2").join(of_set, (F.col("n") == F.col("size")) & (F.col("fp1") == F.col("f1")) & (F.col("fp2") == F.col("f2")), "left")
+    info, _ = storage.materialize(rows.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep"), "copies"), "rows")
+    of = info.where("rep is not null").select(F.col("doc_id").alias("id"), "rep")
+
+    pairs = table.where(F.col("kind") == PAIR).select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
     pairs = pairs.join(of.withColumnRenamed("rep", "ra"), F.col("a") == F.col("id")).drop("id").join(of.withColumnRenamed("rep", "rb"), F.col("b") == F.col("id"))
-    tried, _ = storage.materialize(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), "pairs")
-    links = _links(tried, sets, docs)
+    links = _links(pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct(), sets, docs)
     # An id of several rows connects their classes.
     repeated = of.groupBy("id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least <> most").select(F.col("id").alias("of"), "least")
     links = links.union(of.join(repeated, F.col("id") == F.col("of")).where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    rooted, rooted_path = storage.materialize(components.components(links), "components")
-
-    # Keys with representatives that were not all compared, and are not all in one component yet.
-    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("id"), F.col("other").alias("key"))
-    member = _placed(member.join(of, "id").select("rep", "key").distinct(), rooted)
+    # Two rounds bring nearly every group to one root; the last call below settles the rest.
+    stars, stars_path = storage.materialize(components.components(links, rounds=2, settle=False), "stars")
+    rooted = stars.groupBy("node").agg(F.min("root").alias("root"))
+
+    # Representatives in keys where not all were compared, and not all have one root yet.
+    node = _placed(of, rooted).select("id", "rep", "root")
+    member = table.where(F.col("kind") == MEMBER).select(F.col("doc_id").alias("of"), F.col("other").alias("key"))
+    member = member.join(node, F.col("of") == F.col("id")).select("key", "rep", "root").distinct()
     some = member.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).where("n > 2 and low <> high").select(F.expr("key ^ 0L").alias("open_key"))
-    rest, rest_path = storage.materialize(member.join(some, F.col("key") == F.col("open_key")).select("rep", "key"), "open")
+    reps, _ = storage.materialize(member.join(some, F.col("key") == F.col("open_key")).select("rep", "root").distinct(), "open")
     storage.drop(spark, table_path)
-    turn, settled = 0, False
-    while True:
-        now = _open(_placed(rest, rooted))
-        if settled:
-            wanted = _across(now.select("rep", "root").distinct(), sets, docs)
-        else:
-            wanted = _to_hubs(now, turn)
-        known = _unordered(tried).distinct().select(F.col("a").alias("x"), F.col("b").alias("y"))
-        new = wanted.join(known, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
-        wanted, _ = storage.materialize(new, "pairs")
-        more = _links(wanted, sets, docs)
-        linked = not more.isEmpty()
-        if linked:
-            old_path = rooted_path
-            rooted, rooted_path = storage.materialize(components.components(rooted.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), "components")
-            storage.drop(spark, old_path)
-            links, tried = links.union(more), tried.union(wanted)
-        if settled:
-            break
-        turn, settled = turn + 1, not linked
-    storage.drop(spark, rest_path)
+    wanted = _across(reps, sets, docs)
+    more = _links(wanted, sets, docs)
+    links = links.union(more)
+    rooted = components.components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    storage.drop(spark, stars_path)
 
     every = _unordered(links).distinct()
     degree = every.select(F.col("a").alias("node")).union(every.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
-    found = rooted.join(degree, "node", "left")
-    return info.join(found, F.col("rep") == F.col("node"), "left").select(
+    linked = rooted.join(degree, "node", "left")
+    return info.join(linked, F.col("rep") == F.col("node"), "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
         F.coalesce("root", "rep", "doc_id").alias("component_id"),
