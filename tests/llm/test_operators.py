@@ -429,6 +429,61 @@ def test_templates_go_and_copies_stay(spark):
     assert got[31] == "A copied text."
 
 
+def test_templates_that_only_counting_finds(spark):
+    """Pages without articles or names whose templates recur at any depth, against counts by force."""
+    rnd = random.Random(4)
+    sentence = lambda: " ".join(rnd.choice(("alpha", "beta", "gamma", "delta", "eps")) + str(rnd.randrange(900)) for _ in range(6))
+    shared = {h: [sentence() for _ in range(4)] for h in range(3)}
+    rows, want, bodies = [], {}, {}
+    for i in range(90):
+        h = i % 3
+        body = [sentence() for _ in range(3)]
+        used = [t for k, t in enumerate(shared[h]) if k < 3 or i < 6]  # the last one is on two pages of a host only
+        rnd.shuffle(used)
+        source = f"<body><div><section><p>{used[0]}</p></section></div>" + "".join(f"<div>{b}</div>" for b in body) + "".join(f"<table><tr><td>{u}</table>" for u in used[1:])
+        rows.append((i, f"http://h{h}.example/{i}", source))
+        bodies[i] = [used[0], *body, *used[1:]]
+    for i, parts in bodies.items():
+        count = lambda t: sum(t in bodies[j] for j in bodies if j % 3 == i % 3)  # noqa: B023, E731
+        want[i] = "\n".join(t for t in parts if count(t) < templates.PAGES)
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in templates.extract(frame).collect()}
+    assert got == want
+    whole = {i: templates.main_text(templates.parse(t)) for i, _, t in rows}
+    assert all(got[i] != whole[i] for i in got)
+    limit, templates.SHARED_HASHES = templates.SHARED_HASHES, 0
+    try:
+        assert {r["page_id"]: r["text"] for r in templates.extract(frame).collect()} == want
+    finally:
+        templates.SHARED_HASHES = limit
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<form><div><article><p>Kept</p></article></div></form>", "Kept"),
+        ("<div class='page sidebar right'><article>Kept</article></div>", "Kept"),
+        ("<article>Kept<div class='social'>this too</div><p class=ad-free-reading>and this</p></article>", "Kept\nthis too\nand this"),
+        ("<article>Kept<div class='comments'><article>Not</article></div><p class='cookie-notice'>Not</p></article><section id=comments><article>Not</article></section>", "Kept"),
+        ("<div id=siteHeader>Not</div><div role=main>Kept</div><div>Not</div>", "Kept"),
+        ("<aside><article>Not</article></aside><article>Kept</article>", "Kept"),
+        ("<p>One<p>Two<div class='ad'>Not<div>Not</div></div>Three", "One\nTwo\nThree"),
+    ],
+)
+def test_names_only_assist(source, text):
+    assert templates.main_text(templates.parse(source)) == text
+
+
+def test_deep_and_long_pages_are_linear():
+    import time
+
+    for piece in ("<b>x", "<div>x", "<p><b>x", "<li><i>x", "</p><table>x", "<article><div>x"):
+        began = time.time()
+        page = templates.parse(piece * 30_000)
+        assert time.time() - began < 20
+        assert sum(t.count("x") for t, _ in page.blocks) == 30_000
+
+
 def test_html_query_against_the_article(spark):
     import html
 
