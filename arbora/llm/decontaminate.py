@@ -8,15 +8,16 @@ the item has a weighted Jaccard similarity of at least 0.8 with it.
 1. Items are few; their shingles, fingerprints and Hamming-block index are
    built once and shared with the executors.  Their size is checked: beyond
    ``MAX_ITEM_WORDS`` in all they are taken in groups, one pass for each.
-2. A window that is similar shares a shingle with the item, so a document's
-   shingles are looked up in the items' first.  Each hit gives the window in
-   which that shingle has the same place as in the item, and those a few words
-   before and after it.
-3. Each such window gets a 64-bit SimHash of its words.  The index has the
-   items' fingerprints by 11 blocks of bits; a fingerprint within radius 10
-   agrees with the item's in one block at least, so the look-up returns all of
-   them.  An item is also taken, whatever its fingerprint, if the document has
-   as many of its shingles as a similar window needs.
+2. Every window of an item's size that holds one of the item's shingles gets a
+   64-bit SimHash of its words, from running sums of its bits; other windows
+   share nothing with an item and cannot be similar.
+3. The index has the items' fingerprints by 11 blocks of bits; a fingerprint
+   within radius 10 agrees with the item's in one block at least, so the look-up
+   returns all of them.  Similar windows may be farther apart than any radius
+   that an index can serve (a changed end of 6 in 59 words is 9 bits on
+   average), so an item that no window brings up is also taken if the document
+   has as many of its shingles as a similar window needs; the tests measure how
+   much the index finds alone.
 4. The exact weighted-shingle similarity decides, over all windows of the
    document: it changes only where a shared shingle comes in or goes out.
 
@@ -25,7 +26,9 @@ where their words stand consecutively.
 
 Defined cases: null or empty documents are clean; items without words match
 nothing; repeated items and documents are answered each on their own; ties for
-a document's best window go to the earliest.
+a document's best window go to the earliest; very long documents are taken
+whole, their windows in runs; empty tables give no rows or lose none; extra
+columns stay in ``clean`` and are ignored otherwise.
 """
 
 from __future__ import annotations
@@ -44,8 +47,8 @@ K = 5
 RADIUS = 10
 #: Words of items that one pass shares with the executors (some 100 MB of index).
 MAX_ITEM_WORDS = 1_000_000
-#: How far a window may start from where a shared shingle puts it.
-SLACK = 2
+#: Windows that are fingerprinted together.
+RUN = 4096
 _U = np.uint64
 _BLOCKS = RADIUS + 1
 _EDGES = [64 * k // _BLOCKS for k in range(_BLOCKS + 1)]
@@ -57,6 +60,18 @@ def simhash(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def window_prints(hashes: np.ndarray, first: int, last: int, size: int) -> list[int]:
+    """SimHashes of the windows of so many words that start at first to last."""
+    out = []
+    for a in range(first, last + 1, RUN):
+        part = hashes[a : min(a + RUN, last + 1) - 1 + size]
+        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(bits, 0, dtype=np.int32)])
+        width = min(size, len(part))
+        out += np.packbits(2 * (sums[width:] - sums[:-width]) > width, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
+    return out
+
+
 def blocks(fingerprint: int) -> Iterator[tuple[int, int]]:
     for k in range(_BLOCKS):
         yield k, fingerprint >> _EDGES[k] & (1 << _EDGES[k + 1] - _EDGES[k]) - 1
@@ -109,6 +124,22 @@ class Index:
         found = {k for b, value in blocks(fingerprint) for k in self.by_block.get((size, b, value), ())}
         return {k for k in found if (self.prints[k] ^ fingerprint).bit_count() <= RADIUS}
 
+    def near_windows(self, hashes: np.ndarray, places: dict[int, set[int]]) -> set[int]:
+        """Items within the radius of a window that holds a known shingle; places: by window size, where those start."""
+        near, words = set(), len(hashes)
+        for size, starts in places.items():
+            n, last, reach = min(K, size), max(words - size, 0), -1
+            for q in sorted(starts):
+                a, b = max(q - size + n, reach + 1, 0), min(q, last)
+                if a <= b:
+                    for fingerprint in set(window_prints(hashes, a, b, size)):
+                        near |= self.near(fingerprint, size)
+                    reach = b
+                elif q > last and reach < last:
+                    near |= self.near(window_prints(hashes, last, last, size)[0], size)
+                    reach = last
+        return near
+
     def hits(self, rolled: np.ndarray, n: int) -> np.ndarray:
         """Where a known shingle of n words starts."""
         at = np.flatnonzero(self.sieve[n][(rolled & _U((1 << 20) - 1)).astype(np.int64)])
@@ -136,18 +167,16 @@ class Index:
 
     def match(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[tuple[int, int, int, float]]:
         """(item, start, words, similarity) of the best window of every item that a text contains."""
-        sizes, shared = {}, defaultdict(list)
+        places, shared = defaultdict(set), defaultdict(list)
         for n, at in hits.items():
             for q, s in zip(at.tolist(), textkit.windows(hashes, n)[at].tolist(), strict=True):
-                for k, p in self.places[n][s]:
-                    sizes.setdefault(self.sizes[k], set()).update(range(q - p - SLACK, q - p + SLACK + 1) if n == K else (q,))
+                for k, _ in self.places[n][s]:
+                    places[self.sizes[k]].add(q)
                     if not shared[k] or shared[k][-1][0] != q:
                         shared[k].append((q, s))
+        near = self.near_windows(hashes, places)
         # A window that is similar has 8/18 of the shingles of both; the radius may turn it away all the same.
-        near = {k for k, x in shared.items() if 18 * len(x) >= 8 * (self.counts[k].total() + min(self.sizes[k], len(hashes)) - min(K, self.sizes[k]) + 1)}
-        for size, starts in sizes.items():
-            for start in sorted({min(max(s, 0), max(len(hashes) - size, 0)) for s in starts}):
-                near |= self.near(simhash(hashes[start : start + size]), size)
+        near |= {k for k, x in shared.items() if 18 * len(x) >= 8 * (self.counts[k].total() + min(self.sizes[k], len(hashes)) - min(K, self.sizes[k]) + 1)}
         best = [(k, *self.best(k, shared.get(k, []), len(hashes))) for k in sorted(near)]
         return [(self.ids[k], start, self.sizes[k], similarity) for k, similarity, start in best if 10 * similarity >= 8 - 1e-9]
 

@@ -1,6 +1,7 @@
 """Operators against brute force, exact round trips and held-out accuracy, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -524,13 +525,54 @@ def test_top_k_against_brute_force(spark):
     rows = [(int(k), [float(v) for v in r]) for k, r in enumerate(x)] + [(0, [0.5] * 6), (500, None), (550, [None] * 6), (600, [float("nan")] * 6), (650, [1.0, 2.0]), (700, [float("inf")] * 6), (None, [1.0] * 6), (200, [0.25] * 6), (201, [0.25] * 6)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in covertree.top_k(frame, F.col("vec_id") % 50 == 0).collect())
-    usable = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = []
+    assert got == sorted(top_by_force(rows))
+
+
+def top_by_force(rows):
+    """Whole-number scores; null ids after all others in ties, scores beyond a long as the nearest one."""
+    usable = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows if v is not None and None not in v and np.isfinite(256 * np.array(v, float)).all()]
+    want, most = [], (1 << 63) - 1
     for k, (i, q) in enumerate(usable):
-        if i % 50 == 0:
-            best = sorted((-int(q @ v), j) for m, (j, v) in enumerate(usable) if m != k and len(v) == len(q))[:5]
-            want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
-    assert got == sorted(want)
+        if i is not None and i % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, v, strict=True)), j is None, j or 0) for m, (j, v) in enumerate(usable) if m != k and len(v) == len(q))[:5]
+            want += [(i, n, None if none else j, max(min(-s, most), -most - 1)) for n, (s, none, j) in enumerate(best, 1)]
+    return want
+
+
+def test_top_k_of_large_components_and_null_ids(spark):
+    rnd = random.Random(3)
+    rows = [(k, [rnd.choice((1.0, -1.0)) * rnd.random() * 10 ** rnd.choice((0, 0, 1, 5, 8, 12, 17, 30, 300)) for _ in range(3)]) for k in range(120)]
+    rows += [(None, [1.0, 2.0, 3.0]), (None, [1e300, 0.0, 0.0]), (150, [1e308] * 3), (200, [4096000000000.0, 0.00390625, 0.0]), (200, [2.0, 3.0, 0.0])]
+    frame = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id bigint, embedding array<double>, row string")
+    got = [tuple(r) for r in covertree.top_k(frame, F.col("vec_id") % 50 == 0).collect()]
+    key = lambda r: (r[0], r[1], r[3], str(r[2]))
+    assert sorted(got, key=key) == sorted(top_by_force(rows), key=key)
+    assert covertree.top_k(frame.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_cover_tree_invariants():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.05, (300, 4)) for c in rng.normal(0, 1, (20, 4))] + [np.ones((200, 4))])
+    split = 0
+
+    def visit(node):
+        nonlocal split
+        distance = np.sqrt(((x[node.rows] - node.centre) ** 2).sum(1))
+        assert distance.max() <= node.radius + 1e-12 <= 2.0**node.level + 1e-9
+        if not node.children:
+            return
+        split += 1
+        assert sorted(np.concatenate([c.rows for c in node.children]).tolist()) == sorted(node.rows.tolist())
+        assert any(c.at == node.at for c in node.children)
+        centres = np.array([x[c.at] for c in node.children])
+        gaps = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2))[~np.eye(len(centres), dtype=bool)]
+        assert gaps.min() > 2.0 ** (node.level - 1)
+        assert all(c.radius <= 2.0 ** (node.level - 1) for c in node.children)
+        for c in node.children:
+            visit(c)
+
+    visit(covertree.tree(x))
+    assert split > 20
 
 
 def test_dual_tree_prunes():
@@ -618,6 +660,33 @@ def test_decontamination_finds_edited_ends_and_runs_as_brute_force_does():
     assert not wrong, (len(wrong), sum(not got for got, _ in wrong), wrong[:3])
 
 
+def test_index_alone_against_brute_force():
+    """Of the similar windows with substitutions, insertions and deletions, how many the fingerprints find."""
+    rnd = random.Random(11)
+    pattern = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    found = total = 0
+    for n in [15, 20, 30, 40, 50, 59] * 80:
+        item = [f"x{rnd.randrange(3000)}" for _ in range(n)]
+        body = list(item)
+        for _ in range(rnd.randint(1, 2)):
+            at = rnd.randrange(len(body))
+            rnd.choice((lambda: body.__setitem__(at, "new"), lambda: body.insert(at, "new"), lambda: body.pop(at)))()  # noqa: B023
+        around = [f"y{rnd.randrange(3000)}" for _ in range(60)]
+        doc = [*around[:30], *body, *around[30:]]
+        if not contaminated_by_force([(1, " ".join(doc))], [(7, " ".join(item))]):
+            continue
+        index = decontaminate.Index([(7, " ".join(item))])
+        data, offsets = textkit.utf8(pa.array([" ".join(doc)]))
+        hashes = textkit.words(data, offsets, textkit.ALNUM)[2]
+        hits = index.hits(textkit.windows(hashes, 5), 5)
+        total += 1
+        found += bool(index.near_windows(hashes, {n: set(hits.tolist())}))
+        assert [m[0] for m in decontaminate._found(index, pa.array([" ".join(doc)]))[1]] == [7]
+    assert total > 100 and found >= 0.9 * total, (found, total)
+    prints = decontaminate.window_prints(hashes, 3, 40, n)
+    assert prints == [decontaminate.simhash(hashes[a : a + n]) for a in range(3, 41)]
+
+
 def test_block_index_finds_all_in_the_radius():
     rnd = random.Random(2)
     index = decontaminate.Index([(k, " ".join(f"v{rnd.randrange(50)}" for _ in range(12))) for k in range(200)])
