@@ -417,12 +417,72 @@ def test_license_base_against_brute_force(spark, texts):
         assert set(r["base_labels"]) <= set(r["labels"]) and 0 <= r["score"] < 1
     labels = {r["doc_id"]: r["labels"] for r in found}
     assert labels[0] == ["mit"]
-    assert labels[2] == ["cc-by", "cc-by-nc-4.0"]
+    assert labels[2] == ["cc-by", "cc-by-nc-4.0", "notice-license"]
     assert labels[3] == ["gpl", "gpl-3.0-or-later"]
     assert labels[10] == ["apache-2.0", "mit"]
     assert len(licenses.RULES) > 200
 
 
+def example(pattern, rnd):
+    """A string that a signature's pattern matches."""
+    out = ""
+    for op, value in pattern:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "IN":
+            kind, x = rnd.choice(value)
+            out += chr(x if str(kind) == "LITERAL" else rnd.randint(*x))
+        elif name == "MAX_REPEAT":
+            low, high, inner = value
+            out += "".join(example(inner, rnd) for _ in range(rnd.randint(low, min(high, low + 3))))
+        elif name == "SUBPATTERN":
+            out += example(value[3], rnd)
+        elif name == "BRANCH":
+            out += example(rnd.choice(value[1]), rnd)
+        else:
+            raise ValueError(name)
+    return out
+
+
+def labels_by_force(text):
+    """Every rule's leftmost matches, without those inside another one of at least their priority."""
+    norm = b" ".join(words(text, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")).decode()
+    norm = f" {norm} "
+    found = []
+    for r in licenses.RULES:
+        for m in re.finditer(f" ({r.pattern})(?= )", norm):
+            a = norm[: m.start()].count(" ")
+            found.append((a, -(a + m[1].count(" ") + 1), -r.priority, r.label))
+    found.sort()
+    kept = []
+    for k, (a, e, p, label) in enumerate(found):
+        if not any(p2 <= p and a2 <= a and e2 <= e for a2, e2, p2, _ in found[:k]):
+            kept.append(label)
+    base = license_by_force(text)[4]
+    return sorted({*kept, *base})
+
+
+def test_license_labels_against_brute_force(spark):
+    parser = re._parser
+    rnd = random.Random(9)
+    signs = [parser.parse(r.pattern) for r in licenses.RULES]
+    rows = []
+    for k, (rule, sign) in enumerate(zip(licenses.RULES, signs, strict=True)):
+        for _ in range(3):
+            one = example(sign, rnd)
+            assert rule.keyword in f" {one} ", (rule, one)
+            rows.append((len(rows), f"Under, {one.title()}."))
+        two, three = (example(rnd.choice(signs), rnd) for _ in range(2))
+        rows.append((len(rows), " ".join(rnd.choice((["x"], [one], [two, three], two.split()[:-1]))[0] if rnd.random() < 0.2 else x for x in (one, two, "and", three, one))))
+    rows += [(len(rows), "Licen\u017fed \u212aB LICENSE M\u0130T license"), (len(rows) + 1, "mit license " * 4000)]
+    got = {r["doc_id"]: r["found"]["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string"), "text", "found").collect()}
+    wrong = [(t, got[i], labels_by_force(t)) for i, t in rows[:-1] if got[i] != labels_by_force(t)]
+    assert not wrong, (len(wrong), wrong[:3])
+    assert got[rows[-1][0]] == ["mit"]
+    assert len(licenses.RULES) > 200 and len({r.keyword for r in licenses.RULES}) > 100
+
+
 def test_license_plan_has_no_python(spark):
     plan = registered.op6_licenses(spark, SMALL)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
