@@ -2,7 +2,8 @@
 
 A text is lower-cased and reduced to its words with one blank between them.
 Every rule is a regular expression over that word string, guarded by a keyword
-that its matches must contain; a rule runs only on texts with its keyword.
+that its matches must contain; a rule runs only on texts with its keyword, and
+keywords are looked for only in texts with a word that many of them need.
 Matches become word intervals.  An interval that lies inside another one of the
 same or a higher priority is suppressed, so "licensed under the mit license"
 wins over the bare "mit license" in it, while a low-priority notice never hides
@@ -18,6 +19,7 @@ name is replaced); no rows give no rows.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -260,7 +262,7 @@ notice-no-commercial | 1 | commercial | (?:for )?non ?commercial use only
 def _rules() -> tuple[Rule, ...]:
     lines = (line for line in SIGNATURES.strip().splitlines() if not line.startswith("#"))
     fields = ([x.strip() for x in line.split("|", 3)] for line in lines)
-    return tuple(Rule(label, f"(?:{pattern})", keyword, int(priority)) for label, priority, keyword, pattern in fields)
+    return tuple(Rule(label, pattern, keyword, int(priority)) for label, priority, keyword, pattern in fields)
 
 
 RULES = _rules()
@@ -305,6 +307,19 @@ def _intervals(norm: Column, rule: Column) -> Column:
     )
 
 
+#: Words that many signatures need; a text is tried for these first, and for keywords after that.
+GATES = ("licen", "cc by", "cc0", "creative commons", "gpl", "copyright", "permi", " version ", "software", "public", " terms ", "warrant")
+
+
+def gate(rule: Rule) -> str:
+    """The first gate that every match of the rule contains, or else its keyword."""
+    sign = rule.pattern
+    while (cut := re.sub(r"\(\?:[^()]*\)\??", "\0", sign)) != sign:
+        sign = cut
+    always = re.sub(r".\?|\[[^]]*\](?:\{[0-9]+\}|\+)?", "\0", f" {sign} ")
+    return next((g for g in GATES if g in always and "|" not in always), rule.keyword)
+
+
 def _regex(rule: Rule) -> str:
     return f" ({rule.pattern})(?= )"
 
@@ -315,13 +330,12 @@ def detections(norm: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     Keywords and patterns are literals, so each pattern is compiled once; only rules that match are looked at again for places.
     """
     none = F.array().cast("array<int>")
-    by_keyword: dict[str, list[int]] = {}
+    groups: dict[str, dict[str, list[int]]] = {}
     for k, r in enumerate(rules):
-        by_keyword.setdefault(r.keyword, []).append(k)
-    tried = [
-        F.when(F.contains(norm, F.lit(keyword)), F.filter(F.array(*[F.when(F.rlike(norm, F.lit(_regex(rules[k]))), F.lit(k)) for k in own]), lambda k: k.isNotNull())).otherwise(none)
-        for keyword, own in by_keyword.items()
-    ]
+        groups.setdefault(gate(r), {}).setdefault(r.keyword, []).append(k)
+    found = lambda own: F.filter(F.array(*[F.when(F.rlike(norm, F.lit(_regex(rules[k]))), F.lit(k)) for k in own]), lambda k: k.isNotNull())
+    behind = lambda word, what: F.when(F.contains(norm, F.lit(word)), what).otherwise(none)
+    tried = [behind(g, F.flatten(F.array(*[behind(keyword, found(own)) for keyword, own in by_keyword.items()]))) for g, by_keyword in groups.items()]
     table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(_regex(r)).alias("regex"), F.lit(r.priority).alias("priority")) for r in rules])
     return F.array_sort(F.flatten(F.transform(F.flatten(F.array(*tried)) if tried else none, lambda k: _intervals(norm, F.element_at(table, k + 1)))))
 
