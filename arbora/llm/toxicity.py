@@ -11,14 +11,19 @@ weights minimise the class-prior-corrected risk
 
 with the gradient of the second term turned round while it is negative.
 
-The model is fitted on the driver from a bounded sample (``MAX_POSITIVE`` and
-``MAX_UNLABELLED`` rows with the smallest hash of their id); the class prior is
-the share of positives among all labelled training rows, and scoring covers
-every whole text.
+The model is fitted from a bounded sample (``MAX_POSITIVE`` and
+``MAX_UNLABELLED`` ids with the smallest hash, one text of each).  Spark counts
+in how many of its texts each feature occurs and selects; only the selected
+features of the sample come to the driver.  The class prior is the share of
+positives among all labelled training rows, and scoring covers every whole
+text.
 
 Defined cases: null and empty texts have no features and get the score of the
-bias alone; a document labelled twice counts once, by its largest label; with
-no positives every score is 0.
+bias alone; a document labelled twice counts once, by its largest label; of an
+id with several rows the sample takes the text that sorts first; of equally
+telling features those of smaller hash are taken; very long texts are scored
+whole; with no positives every score is 0; extra columns, of whatever names,
+are kept by ``accepted`` and ignored otherwise; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from arbora.llm import textkit
+from arbora.llm import storage, textkit
 
 #: Bounds of the sample on which the classifier is fitted.
-MAX_POSITIVE, MAX_UNLABELLED = 2000, 4000
+MAX_POSITIVE, MAX_UNLABELLED = 2500, 5000
+#: A selected feature occurs in so many positives, has such a likelihood ratio, and is one of so many.
+LEAST, TELLING, MOST = 3, 11, 4000
 #: Word beginnings, in bytes; 0 is the whole word.
 LENGTHS = (0, 4, 5, 6, 7, 8)
 _SALT = np.array([textkit.mix_int(1000 + k) for k in LENGTHS], np.uint64)
@@ -52,21 +59,38 @@ def _features(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np
             yield own, textkit.slices(sums, starts[own], starts[own] + k) ^ salt
 
 
-def _distinct_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """role, and each text's distinct features as bytes: 64-bit hashes, then a byte for each one's count."""
+def text_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Each text's distinct features, ascending, and how often each occurs."""
+    for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(column, textkit.ALNUM):
+        row = np.repeat(np.arange(b - a), np.diff(at))
+        parts = [(row[own], found) for own, found in _features(sums, starts, ends, hashes)]
+        rows, found = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        order = np.argsort(rows, kind="stable")
+        cut = np.searchsorted(rows[order], np.arange(b - a + 1))
+        found = found[order]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            yield np.unique(found[x:y], return_counts=True)
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """role and feature, once for each text that has it."""
     for batch in batches:
-        out = []
-        for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(batch.column(1), textkit.ALNUM):
-            row = np.repeat(np.arange(b - a), np.diff(at))
-            parts = [(row[own], found) for own, found in _features(sums, starts, ends, hashes)]
-            rows, found = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(rows, kind="stable")
-            cut = np.searchsorted(rows[order], np.arange(b - a + 1))
-            found = found[order]
-            for x, y in zip(cut[:-1], cut[1:], strict=True):
-                kinds, counts = np.unique(found[x:y], return_counts=True)
-                out.append(kinds.tobytes() + np.minimum(counts, 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["role", "features"])
+        for role, (kinds, _) in zip(batch.column(0).to_pylist(), text_features(batch.column(1)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kinds), role), pa.int32()), pa.array(kinds.view(np.int64))], ["role", "feature"])
+
+
+def _chosen_features(chosen: np.ndarray):
+    """role, and each text's selected features as bytes: 64-bit hashes, then a byte for each one's count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for kinds, counts in text_features(batch.column(1)):
+                own = np.isin(kinds, chosen)
+                out.append(kinds[own].tobytes() + np.minimum(counts[own], 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["role", "features"])
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -87,24 +111,15 @@ class Model:
         return table
 
 
-def _select(roles: np.ndarray, sets: list[np.ndarray], prior: float, least: int = 3, most: int = 4000) -> np.ndarray:
-    """Features that positives have more often than the unlabelled, by the likelihood-ratio statistic."""
-    own = [x for x, r in zip(sets, roles, strict=True) if r == 1]
-    kinds, positive = np.unique(np.concatenate(own), return_counts=True)
-    kinds, positive = kinds[positive >= least], positive[positive >= least]
-    other = np.zeros(len(kinds), np.int64)
-    for x, r in zip(sets, roles, strict=True):
-        if r == 0 and len(kinds):
-            place = np.minimum(np.searchsorted(kinds, x), len(kinds) - 1)
-            other[place[kinds[place] == x]] += 1
-    n, m = max((roles == 1).sum(), 1), max((roles == 0).sum(), 1)
-    keep = positive / n > 2 * other / m
-    p, q = positive[keep].astype(float), other[keep].astype(float)
-    mean = (p + q) / (n + m)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        g = 2 * (np.nan_to_num(p * np.log(p / n / mean)) + np.nan_to_num(q * np.log(q / m / mean)))
-    chosen = kinds[keep][(rank := np.lexsort((kinds[keep], -g)))[: most]]
-    return np.sort(chosen[g[rank][: most] > 11])
+def select(occurrences: DataFrame, n: int, m: int) -> np.ndarray:
+    """Features that the n positives have more often than the m unlabelled, by the likelihood-ratio statistic; ascending."""
+    counts = occurrences.groupBy("feature").agg(F.sum("role").cast("double").alias("p"), F.sum(1 - F.col("role")).cast("double").alias("q"))
+    counts = counts.where((F.col("p") >= LEAST) & (F.col("p") / n > 2 * F.col("q") / m))
+    mean = (F.col("p") + F.col("q")) / (n + m)
+    part = lambda x, size: F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / size / mean)).otherwise(0.0)
+    telling = counts.withColumn("g", 2 * (part("p", n) + part("q", m))).where(F.col("g") > TELLING)
+    rows = telling.orderBy(F.desc("g"), "feature").limit(MOST).select("feature").collect()  # MOST rows
+    return np.sort(np.array([r["feature"] for r in rows], np.int64).view(np.uint64))
 
 
 def weight_of(counts: np.ndarray) -> np.ndarray:
@@ -112,9 +127,8 @@ def weight_of(counts: np.ndarray) -> np.ndarray:
     return np.log2(1 + np.minimum(counts, 15))
 
 
-def train(roles: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> Model:
+def train(chosen: np.ndarray, roles: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 2e-3) -> Model:
     """Fit from each sampled text's role (1 positive, 0 unlabelled), features and their counts, by Adam on the non-negative risk."""
-    chosen = _select(roles, sets, prior)
     rows, cols, values = [], [], []
     for k, (s, c) in enumerate(zip(sets, counts, strict=True)):
         place = np.minimum(np.searchsorted(chosen, s), max(len(chosen) - 1, 0))
@@ -144,7 +158,7 @@ def train(roles: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray], p
     return Model(chosen, w, float(bias))
 
 
-def _scorer(model_of, text: int):
+def _scorer(model_of, text: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = model_of.value
         mask, crowded = np.uint64((1 << _BITS) - 1), bool((table == -2).any())
@@ -163,7 +177,7 @@ def _scorer(model_of, text: int):
                 hit, count = np.unique(np.concatenate(hits), return_counts=True)
                 if len(hit):
                     margin[a:b] += np.bincount(hit // len(model.features), model.weights[hit % len(model.features)] * weight_of(count), b - a)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], [*batch.schema.names, name])
 
     return run
 
@@ -181,31 +195,39 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if not counts["n"] or not counts["p"]:
         return None
     prior = min(max(counts["p"] / counts["n"], 1e-3), 0.9)
-    smallest = lambda rows, n: rows.select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    smallest = lambda rows, n: rows.select(F.col(key).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(n)
     positive = smallest(known.where(F.col("label") == 1), MAX_POSITIVE).withColumn("role", F.lit(1))
     other = smallest(docs.where(training & F.col(key).isNotNull()), MAX_UNLABELLED).withColumn("role", F.lit(0))
     sample = positive.union(other)
-    texts = docs.select(key, F.col(text).alias("text")).join(F.broadcast(sample), key).select("role", "text")
-    rows = texts.mapInArrow(_distinct_features, "role int, features binary").toArrow()
-    roles = rows.column(0).to_numpy()
-    packed = [x.as_py() for x in rows.column(1)]
-    sets, counts = [np.frombuffer(x, np.uint64, len(x) // 9) for x in packed], [np.frombuffer(x, np.uint8, -1, len(x) // 9 * 8) for x in packed]
-    return train(roles, sets, counts, prior) if (roles == 1).any() else None
+    texts = docs.select(F.col(key).alias("of"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    chosen = texts.join(F.broadcast(sample.select("id").distinct()), F.col("of") == F.col("id")).groupBy("id").agg(F.min("text").alias("text"))
+    rows, path = storage.materialize(sample.join(chosen, "id").select("role", "text"), "sample")
+    sizes = rows.agg(F.coalesce(F.sum("role"), F.lit(0)).alias("n"), F.count("*").alias("all")).first()
+    n, m = sizes["n"], sizes["all"] - sizes["n"]
+    if not n:
+        return None
+    features = select(rows.mapInArrow(_occurrences, "role int, feature bigint"), max(n, 1), max(m, 1))
+    got = rows.mapInArrow(_chosen_features(features), "role int, features binary").toArrow()  # the sample's selected features
+    storage.drop(docs.sparkSession, path)
+    packed = [x.as_py() for x in got.column(1)]
+    sets, often = [np.frombuffer(x, np.uint64, len(x) // 9) for x in packed], [np.frombuffer(x, np.uint8, -1, len(x) // 9 * 8) for x in packed]
+    return train(features, got.column(0).to_numpy(), sets, often, prior)
 
 
-def with_score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``__score``."""
+def with_score(docs: DataFrame, model: Model | None, text: str = "text", name: str = "score") -> DataFrame:
+    """``docs`` with a column of that name, which they do not have yet."""
     if model is None or not len(model.features):
-        return docs.withColumn("__score", F.lit(0.0 if model is None else float(1 / (1 + np.exp(-model.bias)))))
+        return docs.withColumn(name, F.lit(0.0 if model is None else float(1 / (1 + np.exp(-model.bias)))))
     shared = docs.sparkSession.sparkContext.broadcast((model, model.table()))
-    return docs.mapInArrow(_scorer(shared, docs.columns.index(text)), StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(_scorer(shared, docs.columns.index(text), name), StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of every row."""
-    return with_score(docs.select(key, text), model, text).select(key, F.col("__score").alias("score"))
+    return with_score(docs.select(key, text), model, text, "score").select(key, "score")
 
 
 def accepted(docs: DataFrame, model: Model | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
-    return with_score(docs, model, text).where(F.col("__score") < threshold).drop("__score")
+    name = storage.free_name(docs, "score")
+    return with_score(docs, model, text, name).where(F.col(name) < threshold).drop(name)

@@ -388,11 +388,64 @@ def test_risk_is_non_negative_learning():
     bad = [np.unique(np.append(rng.integers(100, 400, 30), rng.integers(0, 5, 3)).astype(np.uint64)) for _ in range(60)]
     roles = np.array([1] * 40 + [0] * 320)
     sets = bad[:40] + good + bad[40:]
-    model = toxicity.train(roles, sets, [np.ones(len(s), np.uint8) for s in sets], 0.1)
+    model = toxicity.train(np.arange(5, dtype=np.uint64), roles, sets, [np.ones(len(s), np.uint8) for s in sets], 0.1)
     margin = lambda s: model.bias + model.weights[np.isin(model.features, s)].sum()
     assert min(map(margin, bad)) > max(map(margin, good))
 
 
+def test_toxicity_scores_and_selection_against_brute_force(spark, documents, texts):
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit(documents, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(documents, model).collect()}
+    weights = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+
+    def features(text):
+        found = Counter()
+        for w in words(text, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"):
+            for k, salt in zip(toxicity.LENGTHS, toxicity._SALT.tolist(), strict=True):
+                if len(w) >= k:
+                    data, offsets = textkit.utf8(pa.array([w[:k] if k else w], pa.binary()).cast(pa.large_binary()).view(pa.large_string()))
+                    found[int(textkit.hash_slices(data, offsets[:1], offsets[1:])[0]) ^ salt] += 1
+        return found
+
+    counted = {i: features(t) for i, t in texts.items()}
+    for i, found in counted.items():
+        margin = model.bias + sum(weights[f] * math.log2(1 + min(n, 15)) for f, n in found.items() if f in weights)
+        assert abs(got[i] - 1 / (1 + math.exp(-margin))) < 1e-9
+    toxic = {r["doc_id"] for r in labels.where("toxic = 1").collect()} & set(texts)
+    roles = [1] * len(toxic) + [0] * len(texts)
+    p, q = Counter(f for i in toxic for f in counted[i]), Counter(f for c in counted.values() for f in c)
+    n, m, g = len(toxic), len(texts), {}
+    for f, a in p.items():
+        b = q[f]
+        if a >= toxicity.LEAST and a / n > 2 * b / m:
+            mean = (a + b) / (n + m)
+            g[f] = 2 * (a * math.log(a / n / mean) + (b * math.log(b / m / mean) if b else 0))
+    want = {f for f, x in g.items() if x > toxicity.TELLING}
+    assert len(want) <= toxicity.MOST and len(roles) == n + m
+    assert set(model.features.tolist()) == want
+
+
+def test_quality_scores_against_brute_force(spark, documents):
+    """Class densities by determinants and solves, from the rows themselves."""
+    rows = quality.features(documents)
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet").where("quality in (0, 1)").select("doc_id", "quality")
+    got = {r["doc_id"]: r["score"] for r in quality.score(rows, quality.fit(rows.join(labels, "doc_id"), "quality")).collect()}
+    known = rows.join(labels, "doc_id").collect()
+    x = {k: np.array([r["x"] for r in known if r["quality"] == k]) for k in (0, 1)}
+    d, every = len(quality.NAMES), len(known)
+    shared = sum((v - v.mean(0)).T @ (v - v.mean(0)) for v in x.values()) / (every - 2)
+    log = {}
+    for k, v in x.items():
+        trust = 0.7 * len(v) / (len(v) + 2 * d)
+        covariance = trust * np.cov(v.T) + (1 - trust) * shared
+        covariance = 0.98 * covariance + 0.02 * np.diag(np.diag(shared)) + 1e-4 * (np.trace(shared) / d + 1e-9) * np.eye(d)
+        log[k] = lambda z, v=v, c=covariance: np.log(len(v) / every) - 0.5 * np.linalg.slogdet(c)[1] - 0.5 * (z - v.mean(0)) @ np.linalg.solve(c, z - v.mean(0))
+    for r in rows.collect():
+        z = np.array(r["x"])
+        assert abs(got[r["doc_id"]] - 1 / (1 + np.exp(-np.clip(log[1](z) - log[0](z), -50, 50)))) < 1e-6
+
+
 # 6. License scans.
 
 LICENSES = [
