@@ -13,8 +13,10 @@ r of a shard starts at byte r * stride and a reader can resume at any slot.
 Tokens move once, to the task of their shard.  A shard is written under the
 attempt's own name and renamed, so a repeated task leaves the same file.
 
-Defined cases: a null or empty text is the end id alone; repeated rows and null
-ids are sequences like others; no documents give no shards.
+Defined cases: a null or empty text is the end id alone; very long texts are
+many sequences; repeated rows and null ids are sequences like others; the
+permutation has no ties; extra columns are ignored; no documents give no shards
+and no rows.
 """
 
 from __future__ import annotations
@@ -85,6 +87,8 @@ def _cut(path: str | None, length: int, end: int, partitions: int, shards: int,
                     body.append(ids[a : a + length].tobytes())
             order = permutation.forward(np.arange(index, index + len(row)))
             index += len(row)
+            if index >> PLACE != (index - len(row)) >> PLACE and row:
+                raise RuntimeError("a partition has more sequences than places")
             # The range of the permuted index, in whole numbers: shards * order / n.
             width = -(-permutation.n // shards)
             columns = [pa.array((order // np.uint64(width)).astype(np.int32)), pa.array(order.astype(np.int64)), batch.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(body, pa.binary())]
@@ -102,7 +106,10 @@ def _write(folder: str, length: int, width: int):
         def finish() -> None:
             if out is not None:
                 out.close()
-                system.move(temporary, f"{root}/shard-{at:06d}.bin")
+                done = f"{root}/shard-{at:06d}.bin"
+                if system.get_file_info(done).type == fs.FileType.File:  # of an earlier attempt, with the same records
+                    system.delete_file(done)
+                system.move(temporary, done)
 
         for batch in batches:
             shards, records, lengths, sums = batch.column("shard").to_numpy(), [], [], []
