@@ -31,7 +31,9 @@ has chunks of its own and does not meet the group at all.
 Defined cases: a text with fewer words than five is one shingle of the whole;
 a null, empty or blank text has an empty set and no link; a null id never
 links; rows that repeat an id are kept, and the id's links are those of all its
-rows; extra columns are ignored.
+rows; very long texts are taken whole; ties for a class's or component's id go
+to the smallest; extra columns, of whatever names, stay in ``representatives``
+and are ignored otherwise; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ difference of the two log densities plus the log prior odds.
 Defined cases: null and empty texts have the statistics of an empty text and
 get a score like any other; labels that occur several times for one document
 count once (the smallest); a class with fewer than two rows takes the pooled
-moments; without any label every score is 0.5.
+moments; without any label every score is 0.5; very long texts are taken whole; equal
+statistics give equal scores; repeated rows are scored each; extra columns are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,10 @@ Only ids move between tasks to choose the texts; texts move once, hashed by
 path, to meet the work list, so copies of one blob spread over all tasks.
 
 Defined cases: a null content is the empty blob and has no findings; repeated
-rows are kept; a hundred thousand paths of one blob are one scan.
+rows are kept, null paths too; a hundred thousand paths of one blob are one
+scan; very long contents are scanned whole; spans that start together stand in
+the order of their kinds; extra columns, of whatever names, stay in ``redact``
+and are ignored otherwise; no rows give no rows and an unchanged ledger.
 """
 
 from __future__ import annotations
@@ -131,15 +134,15 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     execution may split where one blob has very many copies.
     """
     found, _ = storage.materialize(scan(docs, key, text).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "found")
-    names = docs.columns
-    own = docs.withColumn("__blob", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    both = own.join(found.withColumnRenamed("blob", "__blob").withColumnRenamed("spans", "__spans"), "__blob", "left")
+    names, blob, spans = docs.columns, storage.free_name(docs, "blob"), storage.free_name(docs, "spans")
+    own = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    both = own.join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
     merged = F.aggregate(
-        "__spans",
+        spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
         lambda acc, s: F.when(s["end"] <= acc["at"], acc)
         .when(s["start"] < acc["at"], F.struct(acc["out"].alias("out"), s["end"].alias("at")))
         .otherwise(F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1) - acc["at"])),
     )
-    return both.withColumn(text, F.when(F.col("__spans").isNotNull(), merged).otherwise(F.col(text))).select(*names)
+    return both.withColumn(text, F.when(F.col(spans).isNotNull(), merged).otherwise(F.col(text))).select(*names)
