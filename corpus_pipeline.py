@@ -1,7 +1,14 @@
 """A corpus from raw documents to packed sequences, in five stages.
 
 Each stage takes all documents that its predecessor kept, as a written table,
-and all but the last return the columns of documents.
+and all but the last return the columns of documents, extra ones included.
+
+Defined cases, for every stage: null and empty texts are not toxic, have no
+copies, hold no benchmark passage and no secret, and are packed as an end id
+alone; very long texts are taken whole; null ids stay, without copies; rows
+that repeat an id stay or go together as copies, and by their own texts
+otherwise; ties for the document that stays of a group go to the smallest id;
+extra columns may have any names; no documents give no rows.
 """
 
 from __future__ import annotations
@@ -29,8 +36,10 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark."""
-    out = secrets.redact(docs.withColumn("__before", F.col("text")))
-    return out.withColumn("n_chars", F.when(F.col("text").eqNullSafe(F.col("__before")), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    before = storage.free_name(docs, "before")
+    out = secrets.redact(docs.withColumn(before, F.col("text")))
+    size = F.when(F.col("text").eqNullSafe(F.col(before)), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return out.withColumn("n_chars", size).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
