@@ -72,7 +72,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def spans_of_rows(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def spans_of_rows(offsets: np.ndarray, limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Runs of rows [a, b) with about ``limit`` bytes; a longer text is a run alone."""
     a, n = 0, len(offsets) - 1
     while a < n:
@@ -105,14 +105,15 @@ def _prefix_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
     Places have values of their own, no powers of a base: modulo 2^64 those have words that always agree.
     """
-    n = len(data)
+    value = np.zeros(len(data) + 1, U64)
     size = ends - starts
-    value = np.zeros(n + 1, U64)
     if len(size):
-        own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-        place = own - np.repeat(starts, size)
+        # Places in the range: running numbers less that of the range's first byte.
+        place = np.arange(int(size.sum()), dtype=np.int32 if size.sum() < 1 << 31 else np.int64)
+        own = place + np.repeat((starts - np.cumsum(size) + size).astype(place.dtype), size)
+        place -= np.repeat((np.cumsum(size) - size).astype(place.dtype), size)
         value[own + 1] = _BYTE[data[own]] * _place_values(int(size.max()))[place]
-    return np.cumsum(value, dtype=U64)
+    return np.cumsum(value, out=value)
 
 
 def slices(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -153,7 +154,7 @@ def shingle_sets(hashes: np.ndarray, offsets: np.ndarray, k: int = 5) -> Iterato
             yield np.zeros(0, U64)
 
 
-def texts_in_runs(column: pa.Array, chars: np.ndarray = NOT_SPACE, limit: int = 1 << 20):
+def texts_in_runs(column: pa.Array, chars: np.ndarray = NOT_SPACE, limit: int = 1 << 19):
     """For runs of rows [a, b): (a, b, bytes, byte offsets, starts, ends, hashes, word offsets, prefix sums)."""
     data, offsets = utf8(column)
     for a, b in spans_of_rows(offsets, limit):

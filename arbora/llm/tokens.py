@@ -20,9 +20,9 @@ from arbora.llm import textkit
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Bytes of text that are encoded together.
-RUN = 2 << 20
+RUN = 1 << 19
 
 #: Characters whose normal form, lower case and class are the same here and in the library.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\t\n\r !-/:-@\[-`{-~]*")
@@ -70,8 +70,11 @@ def _agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndar
     size = ends - starts
     if not np.array_equal(size, size[like]):
         return False
-    own = np.repeat(starts - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return np.array_equal(data[own], data[own + np.repeat(starts[like] - starts, size)])
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    own = np.repeat((starts - np.cumsum(size) + size).astype(kind), size) + np.arange(int(size.sum()), dtype=kind)
+    here = data[own]
+    own += np.repeat((starts[like] - starts).astype(kind), size)
+    return np.array_equal(here, data[own])
 
 
 class Encoder:
