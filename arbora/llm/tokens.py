@@ -20,7 +20,7 @@ from arbora.llm import textkit
 
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 800_000
 #: Bytes of text that are encoded together.
 RUN = 1 << 19
 
@@ -91,24 +91,42 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # Hashes ascending and each one's piece; a piece's ids and bytes are slices of the two flat arrays.
+        self.hashes, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.begin, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """By the library alone."""
         return [np.array(x.ids, np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, keys: list[bytes]) -> None:
+    def _learn(self, raw: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        keys = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         joined = [b" ".join(keys[k : k + 500]).decode() for k in range(0, len(keys), 500)]
         ids = np.concatenate(self.whole(joined))
         last = np.flatnonzero(self.ends_piece[ids])
         first = np.concatenate([[0], last[:-1] + 1])
         if len(last) != len(keys):
             raise RuntimeError("pieces and ids do not agree")
-        self.number.update(zip(keys, range(len(self.offset), len(self.offset) + len(keys)), strict=True))
+        known = len(self.piece)
+        every = np.concatenate([self.hashes, hashes])
+        order = np.argsort(every, kind="stable")
+        self.hashes, self.piece = every[order], np.concatenate([self.piece, np.arange(known, known + len(keys), dtype=np.int32)])[order]
         self.offset = np.concatenate([self.offset, first + len(self.flat)])
-        self.size = np.concatenate([self.size, last + 1 - first])
+        self.size = np.concatenate([self.size, (last + 1 - first).astype(np.int32)])
         self.flat = np.concatenate([self.flat, ids])
+        length = ends - starts
+        self.begin = np.concatenate([self.begin, len(self.bytes) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(keys), np.uint8)])
+
+    def _remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> bool:
+        """Whether pieces have the bytes of those remembered for their hashes."""
+        size = ends - starts
+        if not np.array_equal(size, self.length[piece]):
+            return False
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        return np.array_equal(data[np.repeat(starts, size) + step], self.bytes[np.repeat(self.begin[piece], size) + step])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.lower().encode() for t in texts]
@@ -118,17 +136,24 @@ class Encoder:
         starts, ends = pieces(data, offsets)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * len(texts)
-        _, first, place = np.unique(textkit.hash_slices(data, starts, ends), return_index=True, return_inverse=True)
+        hashes, first, place = np.unique(textkit.hash_slices(data, starts, ends), return_index=True, return_inverse=True)
         if not _agree(data, starts, ends, first[place]):
             return self.whole(texts)
-        keys = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        if len(self.number) > REMEMBERED:
+        if len(self.hashes) > REMEMBERED:
             self._forget()
-        if fresh := [k for k in keys if k not in self.number]:
-            self._learn(fresh)
-        number = np.fromiter(map(self.number.__getitem__, keys), np.int64, len(keys))[place]
+        at = np.searchsorted(self.hashes, hashes)
+        new = np.ones(len(hashes), bool)
+        inside = at < len(self.hashes)
+        new[inside] = self.hashes[at[inside]] != hashes[inside]
+        if new.any():
+            self._learn(raw, hashes[new], starts[first[new]], ends[first[new]])
+            at = np.searchsorted(self.hashes, hashes)
+        distinct = self.piece[at]
+        if not self._remembered(data, starts[first], ends[first], distinct):
+            return self.whole(texts)
+        number = distinct[place]
         size = self.size[number]
-        after = np.cumsum(size)
+        after = np.cumsum(size, dtype=np.int64)
         ids = self.flat[np.repeat(self.offset[number] - after + size, size) + np.arange(after[-1])]
         cut = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
