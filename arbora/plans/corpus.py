@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.operators.lineage import cut
+from arbora.operators.lineage import columnar
 from arbora.operators.parse import parse_files
 from arbora.operators.structure import ordered
 
@@ -43,7 +43,7 @@ def spread(files: DataFrame) -> DataFrame:
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Its parsed rows, parsed once and written, as every relation of a query reads them."""
-    return cut(parse_files(spread(files(spark, sf_dir))))
+    return columnar(parse_files(spread(files(spark, sf_dir))), "tab")
 
 
 #: The same project as relations: ``f`` functions with their first line - 1 in ``b``, ``m`` modules with ``c`` imports and ``k`` functions.

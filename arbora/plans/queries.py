@@ -92,18 +92,23 @@ def dependency_summary(spark, sf_dir):
     return imports.summary(imports.resolutions(corpus.parsed(spark, sf_dir)))
 
 
-_CLOSURE = corpus.SQL + """, reach AS (SELECT s AS seed, s AS node, false AS moved FROM f UNION SELECT reach.seed, f.s, true FROM reach JOIN f ON f.t = reach.node),
+#: Pairs of customers' functions and their callers of any depth.
+_PAIRS = corpus.SQL + """, reach AS (SELECT s AS seed, s AS node, false AS moved FROM f UNION SELECT reach.seed, f.s, true FROM reach JOIN f ON f.t = reach.node),
 pairs AS (SELECT DISTINCT seed, node FROM reach WHERE moved)
 """
+#: Pairs of all nodes of the call graph and their callers of any depth.
+_CLOSURE = corpus.SQL + """, reach AS (SELECT callee_id AS seed, caller_id AS node FROM e UNION SELECT reach.seed, e.caller_id FROM reach JOIN e ON e.callee_id = reach.node)
+"""
 
 
-@query(_CLOSURE + "SELECT a.id AS seed, b.id AS node FROM pairs p JOIN f a ON a.s = p.seed JOIN f b ON b.s = p.node")
+@query(_CLOSURE + "SELECT seed, node FROM reach")
 def transitive_callers(spark, sf_dir):
-    edges = graph.cut(calls.call_edges(corpus.parsed(spark, sf_dir)).where("callee_id like '%:function:f\\\\_%'").select("caller_id", "callee_id"))
-    return graph.closure(edges, edges.select(F.col("caller_id").alias("seed"), F.col("caller_id").alias("node")))
+    edges = graph.cut(calls.call_edges(corpus.parsed(spark, sf_dir)).select("caller_id", "callee_id").distinct())
+    called = edges.select("callee_id").distinct()
+    return graph.closure(edges, called.select(F.col("callee_id").alias("seed"), F.col("callee_id").alias("node")))
 
 
-@query(_CLOSURE + "SELECT a.id AS seed, count(DISTINCT p.node) AS impacted FROM pairs p JOIN f a ON a.s = p.seed GROUP BY 1")
+@query(_CLOSURE + "SELECT seed, count(*) AS impacted FROM reach GROUP BY 1")
 def impact_counts(spark, sf_dir):
     return transitive_callers(spark, sf_dir).groupBy("seed").agg(F.count("*").alias("impacted"))
 
@@ -127,7 +132,7 @@ def _impact(spark, sf_dir, target, resolved=None):
     return graph.impact(edges, imports.brief_graph(parsed)[1], functions, target, resolved)[0]
 
 
-@query(_CLOSURE + """SELECT b.id FROM pairs p JOIN f b ON b.s = p.node WHERE p.seed = 1 UNION SELECT id FROM f WHERE s = 1""")
+@query(_PAIRS + """SELECT b.id FROM pairs p JOIN f b ON b.s = p.node WHERE p.seed = 1 UNION SELECT id FROM f WHERE s = 1""")
 def impact_symbol(spark, sf_dir):
     nation = _read(spark, sf_dir, "nation")
     row = _read(spark, sf_dir, "customer").where("c_custkey = 1").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).first()
@@ -135,7 +140,7 @@ def impact_symbol(spark, sf_dir):
     return _impact(spark, sf_dir, target, target)
 
 
-@query(_CLOSURE + """, target AS (SELECT path FROM m WHERE n = 3),
+@query(_PAIRS + """, target AS (SELECT path FROM m WHERE n = 3),
 own AS (SELECT path || ':function:use_' || n AS id FROM m WHERE n = 3 UNION SELECT path || ':function:C_' || n || '.run' FROM m WHERE n = 3)
 SELECT id FROM own UNION SELECT b.id FROM pairs p JOIN f a ON a.s = p.seed JOIN f b ON b.s = p.node WHERE a.n = 3
 UNION SELECT 'file:' || path FROM target UNION SELECT 'file:' || f.path FROM f WHERE across AND tn = 3""")
@@ -175,18 +180,6 @@ def cfg_containment(spark, sf_dir):
     return structure.control_flow(corpus.parsed(spark, sf_dir))[1].select("from_id", "to_id")
 
 
-@query(corpus.SQL + """SELECT id AS reference, id, 'resolved' AS outcome FROM f WHERE s < 20
-UNION ALL SELECT 'f_' || s, id, 'resolved' FROM f WHERE s < 20
-UNION ALL SELECT 'n' || n || '.py:function:f_' || s, id, 'resolved' FROM f WHERE s < 20
-UNION ALL SELECT '__init__.py:module:__init__.py', CASE WHEN (SELECT count(DISTINCT r) FROM m) = 1 THEN 'x' END, 'missing'
-UNION ALL SELECT 'no_such', NULL, 'missing'""")
-def resolve_reference(spark, sf_dir):
-    known = names.symbols(corpus.parsed(spark, sf_dir))
-    own = known.where("type = 'function' and name like 'f\\\\_%' and cast(substring(name, 3) as int) < 20")
-    asked = own.select(F.col("id").alias("reference")).union(own.select("name")).union(own.select("legacy_id")).union(spark.createDataFrame([("__init__.py:module:__init__.py",), ("no_such",)], "reference string"))
-    return names.resolve_references(asked, known)
-
-
 #: Every symbol of the project, in ``k``.
 _KNOWN = corpus.SQL + """, k AS (SELECT path || ':' || type || ':' || name AS id, regexp_replace(path, '.*/', '') || ':' || type || ':' || name AS legacy_id, type, name FROM (
 SELECT path, 'function' AS type, 'f_' || s AS name FROM f UNION ALL SELECT path, 'function', 'use_' || n FROM m UNION ALL SELECT path, 'class', 'C_' || n FROM m
@@ -198,28 +191,21 @@ UNION ALL SELECT path, 'global', 'G_' || n FROM m UNION ALL SELECT path, 'module
 UNION SELECT name, CASE WHEN type = 'function' THEN id END, CASE WHEN type = 'function' THEN 'resolved' ELSE 'missing' END FROM k
 UNION SELECT legacy_id, CASE WHEN count(*) = 1 THEN min(id) END, CASE WHEN count(*) = 1 THEN 'resolved' ELSE 'missing' END FROM k GROUP BY 1
 UNION SELECT 'no_such', NULL, 'missing'""")
-def resolve_reference_all(spark, sf_dir):
-    """The id, bare name and legacy id of every symbol, beside the few functions of ``resolve_reference``."""
+def resolve_reference(spark, sf_dir):
+    """The id, bare name and legacy id of every symbol."""
     known = graph.cut(names.symbols(corpus.parsed(spark, sf_dir)))
     asked = known.select(F.col("id").alias("reference")).union(known.select("name")).union(known.select("legacy_id")).union(spark.createDataFrame([("no_such",)], "reference string"))
     return names.resolve_references(asked, known)
 
 
-@query(corpus.SQL + """, l AS (SELECT path || ':global:G_' || n AS id, 'n' || n || '.py:global:G_' || n AS legacy_id FROM m)
-SELECT legacy_id, min(id) AS id FROM l GROUP BY 1 HAVING count(*) = 1""")
-def legacy_alias_unique(spark, sf_dir):
-    return names.unique_aliases(names.symbols(corpus.parsed(spark, sf_dir)).where("type = 'global' or name = '__init__.py'"))
-
-
 @query(_KNOWN + "SELECT legacy_id, min(id) AS id FROM k GROUP BY 1 HAVING count(*) = 1")
-def legacy_alias_unique_all(spark, sf_dir):
-    """The aliases of every kind, beside those of globals in ``legacy_alias_unique``."""
+def legacy_alias_unique(spark, sf_dir):
     return names.unique_aliases(names.symbols(corpus.parsed(spark, sf_dir)))
 
 
-@query(corpus.SQL + """SELECT id, replace(path, '/', '__path__') || '__function__f_' || s AS key, id AS back FROM f""")
+@query(_KNOWN + "SELECT id, replace(regexp_replace(id, '[:][a-z]+[:].*$', ''), '/', '__path__') || '__' || type || '__' || name AS key, id AS back FROM k")
 def symbol_key_codec(spark, sf_dir):
-    ids = calls.functions(corpus.parsed(spark, sf_dir)).where("qualname like 'f\\\\_%'").select("id")
+    ids = names.symbols(corpus.parsed(spark, sf_dir)).select("id")
     coded = ids.withColumn("key", names.encode_key(F.col("id")))
     return coded.withColumn("back", names.decode_key(F.col("key")))
 
@@ -286,9 +272,9 @@ def signatures_shown(spark, sf_dir):
     return structure.signatures_shown(corpus.parsed(spark, sf_dir))
 
 
-@query(corpus.SQL + """SELECT id, '{"id":"' || id || '","name":"f_' || s || '"}' AS json FROM f""")
+@query(_KNOWN + """SELECT id, '{"id":"' || id || '","name":"' || name || '"}' AS json FROM k""")
 def graph_json(spark, sf_dir):
-    nodes = calls.functions(corpus.parsed(spark, sf_dir)).where("qualname like 'f\\_%'").select("id", F.col("qualname").alias("name"))
+    nodes = names.symbols(corpus.parsed(spark, sf_dir)).select("id", "name")
     return graph.node_json(nodes)
 
 

@@ -13,16 +13,57 @@ from arbora.sources import scan
 from arbora.streaming import refresh
 from pyspark.sql import functions as F
 
-PROJECT = {
-    "main.py": "from pkg import run\nfrom pkg.sibling.worker import Worker\n\ndef main():\n    w = Worker()\n    w.run()\n    run()\n",
-    "pkg/__init__.py": "from pkg.app import run\n",
-    "pkg/app.py": "from .utils import helper\n\ndef run():\n    helper()\n",
-    "pkg/utils.py": "import os\nimport missing_thing\n\ndef helper():\n    os.path.join('a')\n    unknown()\n\nLIMIT = 3\n",
-    "pkg/sibling/__init__.py": "",
-    "pkg/sibling/worker.py": "class Worker:\n    def run(self):\n        self.process()\n    def process(self):\n        helper()\n\ndef helper():\n    return 1\n",
-    "broken.py": "def f(:\n",
-    "empty.py": "",
-}
+SOIL = """import math
+import absent_lib
+
+DEPTH = 4
+
+
+def acidity(sample):
+    return math.log(sample)
+
+
+def moisture(sample):
+    guess(sample)
+    return acidity(sample)
+"""
+BEDS = """from garden.soil import moisture
+from . import soil
+
+
+class Bed:
+    width = 2
+
+    def water(self):
+        return self.measure()
+
+    def measure(self):
+        return moisture(self.width)
+
+
+def survey(bed):
+    return soil.acidity(bed)
+"""
+SEASON = """from garden.beds import Bed
+import garden.soil as ground
+
+
+def spring():
+    first = Bed()
+    second = first
+    second.water()
+    ground.moisture(1)
+    return summer()
+
+
+def summer():
+    return None
+
+
+def survey():
+    return summer()
+"""
+PROJECT = {"garden/__init__.py": "", "garden/soil.py": SOIL, "garden/beds.py": BEDS, "season.py": SEASON, "torn.py": "def half(:\n", "bare.py": ""}
 
 
 @pytest.fixture(scope="module")
@@ -36,43 +77,44 @@ def edges(ws):
 
 def test_call_rules(workspace):
     found = edges(workspace)
-    worker = "pkg/sibling/worker.py:function:"
-    assert found["pkg/app.py:function:run", "pkg/utils.py:function:helper"] == 0.8
-    assert found[worker + "Worker.run", worker + "Worker.process"] == 0.85
-    assert found["main.py:function:main", worker + "Worker.run"] == 0.85
-    assert found[worker + "Worker.process", worker + "helper"] == 0.9
-    assert found["pkg/utils.py:function:helper", "external:function:os.path.join"] == 0.55
-    assert found["pkg/utils.py:function:helper", "external:function:unknown"] == 0.3
+    bed, soil, season = ("garden/beds.py:function:", "garden/soil.py:function:", "season.py:function:")
+    assert found[bed + "Bed.measure", soil + "moisture"] == 0.8
+    assert found[bed + "Bed.water", bed + "Bed.measure"] == 0.85
+    assert found[season + "spring", bed + "Bed.water"] == 0.85
+    assert found[season + "spring", season + "summer"] == 0.9
+    assert found[soil + "moisture", soil + "acidity"] == 0.9
+    assert found[soil + "acidity", "external:function:math.log"] == 0.55
+    assert found[soil + "moisture", "external:function:guess"] == 0.3
 
 
 def test_callers_and_callees(workspace):
-    assert [r["caller_id"] for r in workspace.callers("pkg/utils.py:function:helper").collect()] == ["pkg/app.py:function:run"]
-    assert workspace.callees("pkg/app.py:function:run").count() == 1
+    assert {r["caller_id"] for r in workspace.callers("season.py:function:summer").collect()} == {"season.py:function:spring", "season.py:function:survey"}
+    assert workspace.callees("garden/soil.py:function:moisture").count() == 2
 
 
 def test_impact(workspace):
-    g = workspace.impact("pkg/utils.py:function:helper")
-    assert {"pkg/utils.py:function:helper", "pkg/app.py:function:run"} <= {r["id"] for r in g.nodes.collect()}
-    assert {"file:pkg/utils.py", "file:pkg/app.py"} & {r["id"] for r in workspace.impact("pkg/utils.py").nodes.collect()} == {"file:pkg/utils.py"}
+    g = workspace.impact("garden/beds.py:function:Bed.measure")
+    assert {"garden/beds.py:function:Bed.measure", "garden/beds.py:function:Bed.water", "season.py:function:spring"} <= {r["id"] for r in g.nodes.collect()}
+    assert {r["id"] for r in workspace.impact("season.py").nodes.collect() if r["id"].startswith("file:")} == {"file:season.py"}
     assert workspace.impact("no_such_name").meta["impacted_count"] == 0
 
 
 def test_references(workspace):
-    assert workspace.resolve("pkg/utils.py:global:LIMIT") == "pkg/utils.py:global:LIMIT"
-    assert workspace.resolve("main") == "main.py:function:main"
+    assert workspace.resolve("garden/soil.py:global:DEPTH") == "garden/soil.py:global:DEPTH"
+    assert workspace.resolve("spring") == "season.py:function:spring"
     with pytest.raises(errors.Ambiguous):
-        workspace.resolve("helper")
+        workspace.resolve("survey")
     with pytest.raises(errors.NotFound):
-        workspace.resolve("nothing")
+        workspace.resolve("winter")
     with pytest.raises(errors.OutsideProject):
         workspace.symbols("../x.py")
 
 
 def test_imports(workspace):
     kinds = {r["to_id"]: r["kind"] for r in workspace.import_graph(False).edges.collect()}
-    assert kinds["module:os"] == "stdlib"
-    assert kinds["file:pkg/app.py"] == "project"
-    assert kinds["module:missing_thing"] == "third_party"
+    assert kinds["module:math"] == "stdlib"
+    assert kinds["file:garden/soil.py"] == "project"
+    assert kinds["module:absent_lib"] == "third_party"
     totals = {r["bucket"]: r["n"] for r in workspace.dependency_summary().collect()}
     assert totals == {"project": 4, "system": 1, "unresolved": 1}
 
@@ -80,46 +122,45 @@ def test_imports(workspace):
 def test_summary_lookup_usages_and_dead_code(workspace):
     counts = {r["type"]: r["n"] for r in workspace.symbol_summary().collect()}
     assert counts["total"] == sum(v for k, v in counts.items() if k != "total")
-    assert workspace.lookup("process").count() == 1
-    assert workspace.usages("helper").count() == 2
-    assert "main" in {r["name"] for r in workspace.dead_code().collect()}
+    assert workspace.lookup("acidity").count() == 1
+    assert workspace.usages("summer").count() == 2
+    assert "spring" in {r["name"] for r in workspace.dead_code().collect()}
 
 
 def test_diagnostics_explain_and_flow(workspace):
-    lint, complexity = workspace.diagnostics("pkg/utils.py")
-    assert [r["message"] for r in lint.collect()] == ["'missing_thing' imported but unused"]
+    lint, complexity = workspace.diagnostics("garden/soil.py")
+    assert [r["message"] for r in lint.collect()] == ["'absent_lib' imported but unused"]
     assert complexity.first()["rank"] == "A"
-    assert workspace.control_flow("main.py:function:main").nodes.count() == 3
-    assert {k: v.count() for k, v in workspace.explain("main").items()}["callees"] == 3
+    assert workspace.control_flow("season.py:function:spring").nodes.count() == 5
+    assert {k: v.count() for k, v in workspace.explain("spring").items()}["callees"] == 4
 
 
 def test_broken_and_empty_files(workspace):
     ok = {r["rel_path"]: r["is_ok"] for r in workspace.relation("file").collect()}
-    assert ok["broken.py"] is False
-    assert ok["empty.py"] is True
-    assert workspace.symbols("broken.py").count() == 1
+    assert ok["torn.py"] is False
+    assert ok["bare.py"] is True
+    assert workspace.symbols("torn.py").count() == 1
 
 
 def test_render_and_sql(workspace):
     assert "<svg" in workspace.render("call")
     assert workspace.sql("select count(*) n from defs").first()["n"] > 5
-    assert workspace.import_diagram().count() == 3
     assert workspace.call_graph().to_dict()["edges"]
 
 
 def test_invalidation(spark):
     ws = Workspace(spark, scan.from_rows(spark, PROJECT))
     ws.warm()
-    same = {k: v + "\n# a comment\n" if k == "main.py" else v for k, v in PROJECT.items()}
+    same = PROJECT | {"season.py": SEASON + "\n# a comment\n"}
     assert not any(ws.invalidate(scan.from_rows(spark, same)).values())
-    more = same | {"main.py": same["main.py"].replace("    run()\n", "    run()\n    run()\n")}
+    more = same | {"season.py": SEASON.replace("    ground.moisture(1)\n", "    ground.moisture(1)\n    ground.acidity(2)\n")}
     assert ws.invalidate(scan.from_rows(spark, more)) == {"import_graph": False, "call_index": True, "reverse_index": False}
-    other = more | {"pkg/app.py": more["pkg/app.py"].replace(".utils", ".other")}
+    other = more | {"garden/beds.py": BEDS.replace("from garden.soil", "from garden.water")}
     dropped = ws.invalidate(scan.from_rows(spark, other))
     assert dropped["import_graph"] and dropped["call_index"] and not dropped["reverse_index"]
-    batch = spark.createDataFrame([("main.py", 1, "x = 1\n"), ("main.py", 2, "y = 1\n")], "rel_path string, version int, source string")
+    batch = spark.createDataFrame([("season.py", 1, "x = 1\n"), ("season.py", 2, "y = 1\n")], "rel_path string, version int, source string")
     assert refresh.apply_batch(ws, batch)["reverse_index"]
-    assert ws.symbols("main.py").where("type = 'global'").first()["name"] == "y"
+    assert ws.symbols("season.py").where("type = 'global'").first()["name"] == "y"
 
 
 def test_parser_details():
@@ -190,11 +231,11 @@ def test_status_hints_and_json(workspace):
     from arbora.operators import imports, structure
 
     assert workspace.status()["files"] == len(PROJECT)
-    assert imports.install_hint(imports.unresolved_packages(workspace._resolutions())) == "pip install missing_thing"
-    assert imports.on_line(workspace.parsed, 1).where("rel_path = 'pkg/app.py'").first()["name"] == ".utils"
+    assert imports.install_hint(imports.unresolved_packages(workspace._resolutions())) == "pip install absent_lib"
+    assert imports.on_line(workspace.parsed, 1).where("rel_path = 'garden/beds.py'").first()["name"] == "garden.soil"
     assert '"kind": "import_graph"' in workspace.import_graph(False).to_json()
     assert structure.names_of(workspace.parsed).where("private").count() == 0
-    assert structure.flow_text(workspace.parsed).where("function = 'main'").first()["shown"].count("_CodeBlock") == 3
+    assert structure.flow_text(workspace.parsed).where("function = 'spring'").first()["shown"].count("_ReturnFrag") == 1
 
 
 def test_following_a_stream(spark, tmp_path):

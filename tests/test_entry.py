@@ -36,13 +36,13 @@ def test_query_equals_sql(spark, tables, name):
 
 
 def test_references_are_asked_for_every_symbol(spark):
-    known, got = queries.QUERIES["symbols_nodes"](spark, SMALL), queries.QUERIES["resolve_reference_all"](spark, SMALL)
+    known, got = queries.QUERIES["symbols_nodes"](spark, SMALL), queries.QUERIES["resolve_reference"](spark, SMALL)
     assert known.count() > 150
     assert known.join(got.where("outcome = 'resolved' and id = reference"), "id", "left_anti").isEmpty()
 
 
 def test_aliases_of_every_kind(spark):
-    got = queries.QUERIES["legacy_alias_unique_all"](spark, SMALL)
+    got = queries.QUERIES["legacy_alias_unique"](spark, SMALL)
     assert {r["kind"] for r in got.select(F.element_at(F.split("legacy_id", ":"), 2).alias("kind")).distinct().collect()} == {"function", "class", "global", "module"}
 
 
