@@ -34,6 +34,14 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _in_order(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table with each row's place in it: ``file_no``, by path, and ``row_no``."""
+    rows = _read(spark, sf_dir, name).withColumns({"row_no": F.col("_metadata.row_index"), "at": F.col("_metadata.file_path")})
+    paths = sorted(r["at"] for r in rows.select("at").distinct().collect())
+    files = spark.createDataFrame(list(enumerate(paths)), "file_no int, path string")
+    return rows.join(F.broadcast(files), F.col("at") == F.col("path")).drop("at", "path")
+
+
 def _long(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c, t in df.dtypes if t == "int"})
 
@@ -366,8 +374,9 @@ def spans_range_join(spark, sf_dir):
 
 @query("""SELECT l_partkey AS id, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS l_suppkey, min(l_orderkey * 10 + l_linenumber) AS ord FROM lineitem GROUP BY 1""")
 def node_dedup_first_wins(spark, sf_dir):
-    rows = _read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"))
-    return graph.first_wins(rows)
+    """Of lines that share their order's key and number, the first of the table wins, as the SQL's does in one thread."""
+    rows = _in_order(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), "l_suppkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), "file_no", "row_no")
+    return graph.first_wins(rows, ties=("file_no", "row_no"), skip_null=True)
 
 
 @query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS name FROM part) SELECT name, count(*) AS n, count(DISTINCT p_partkey) AS parts, min(p_partkey) AS first FROM w GROUP BY 1""")

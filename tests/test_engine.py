@@ -259,3 +259,10 @@ def test_open_a_directory(spark, tmp_path):
     assert [r["rel_path"] for r in ws.tree().collect()] == ["a.py", "b.py"]
     assert ws.import_graph(False).edges.first()["to_id"] == "file:b.py"
     assert ws.symbols(str(tmp_path / "b.py")).count() == 2
+
+
+def test_first_wins_by_place_and_without_nulls(spark):
+    rows = spark.createDataFrame([(1, None, 5, 2), (1, "b", 5, 3), (1, "c", 5, 9), (2, "d", None, 1), (None, "e", 1, 1), (3, None, 4, 1)], "id int, name string, ord int, row_no int").orderBy(F.desc("row_no"))
+    kept = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert kept(graph.first_wins(rows, ties=("row_no",))) == [(1, None, 5), (2, None, None), (3, None, 4), (None, "e", 1)]
+    assert kept(graph.first_wins(rows, ties=("row_no",), skip_null=True)) == [(1, "b", 5), (2, None, None), (3, None, 4), (None, "e", 1)]

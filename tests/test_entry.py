@@ -64,3 +64,15 @@ def test_imports_without_the_training_data_subpackage():
 
 def test_disassembly(spark):
     assert "co_" not in queries.QUERIES["disassembly"](spark, SMALL).first()["disassembly"][:3]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_first_wins_takes_the_first_of_equal_places(spark, tmp_path, parts):
+    con, (keys, step) = duckdb.connect(), (9, 5000 // parts)
+    con.execute(f"create table lineitem as select i // 2000 as l_orderkey, i % {keys} as l_partkey, case when i % 7 > 0 then i end as l_suppkey, case when i % 11 > 0 then 1 end as l_linenumber from range(5000) t(i)")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for k in range(parts):  # the last file is the largest, which Spark reads first
+        last = "" if k == parts - 1 else f"limit {step}"
+        con.execute(f"copy (select * from lineitem {last} offset {k * step}) to '{tmp_path}/lineitem.parquet/part-{k}.parquet' (format parquet, row_group_size 2048)")
+    con.execute("set threads = 1")
+    assert normal(queries.QUERIES["node_dedup_first_wins"](spark, str(tmp_path)).toPandas()) == normal(con.sql(queries.SQL["node_dedup_first_wins"]).df())
