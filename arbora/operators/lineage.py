@@ -21,10 +21,10 @@ def _checkpoint_dir(df: DataFrame) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="arbora-"))
 
 
-def columnar(df: DataFrame, by: str) -> DataFrame:
+def columnar(df: DataFrame, *by: str) -> DataFrame:
     """``df`` as Parquet under the same folder, a folder for each value of ``by``: readers take one value's files and their own columns."""
     context = df.sparkSession.sparkContext
     _checkpoint_dir(df)
     path = f"{context._jsc.sc().getCheckpointDir().get()}/relations-{uuid.uuid4().hex}"
-    df.write.partitionBy(by).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

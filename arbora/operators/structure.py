@@ -59,6 +59,10 @@ def ordered(value: Column, *by: Column | str) -> Column:
     return F.transform(F.array_sort(F.collect_list(F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], value.alias("v")))), lambda x: x["v"])
 
 
+#: The tables that signatures read.
+SIGNED = ("import", "item", "def", "global", "call")
+
+
 def signatures(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """rel_path, content_hash and the digests of a file's imports, symbols and calls."""
     items = table(parsed, "item").groupBy("rel_path", "import_ord").agg(F.array_join(ordered(F.concat_ws(":", "name", F.coalesce("alias", F.lit(""))), "ord"), "|").alias("items"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from arbora.functions import render, text
 from arbora.operators import calls, graph, imports, names, structure
-from arbora.operators.parse import table
+from arbora.operators.lineage import columnar
+from arbora.operators.parse import parse_files, table
 from arbora.plans import corpus
 from arbora.sources import scan
 
@@ -221,15 +222,18 @@ def symbol_key_codec(spark, sf_dir):
 @query(corpus.SQL + """SELECT path AS rel_path, n % 4 = 1 AS import_graph, n % 4 = 1 OR n % 4 = 0 AS call_index, n % 4 = 2 AS reverse_index, n % 4 < 3 AS content FROM m
 UNION ALL SELECT DISTINCT 'r' || r || '/__init__.py', false, false, false, false FROM m""")
 def facet_changes(spark, sf_dir):
-    """A second version with another call (0), another import (1) or another name (2), by nation modulo 4."""
-    from arbora.operators.parse import parse_files
+    """A second version with another call (0), another import (1) or another name (2), by nation modulo 4.
 
-    old = corpus.files(spark, sf_dir)
+    Both versions are written, and then parsed once each in one job, into the tables that signatures read.
+    """
     kind = F.regexp_extract("rel_path", r"n(\d+)\.py$", 1)
     kind = F.when(kind != "", F.pmod(F.try_to_number(kind, F.lit("99999")).cast("int"), F.lit(4)))
     changed = F.when(kind == 0, F.replace("source", F.lit("        self.step()"), F.lit("        self.stop()"))).when(kind == 1, F.replace("source", F.lit("import json"), F.lit("import math"))).when(kind == 2, F.regexp_replace("source", r"(?m)^G_", "H_")).otherwise(F.col("source"))
-    new = old.withColumn("source", changed)
-    return structure.changed_layers(*[structure.signatures(parse_files(corpus.spread(v)), v) for v in (old, new)])
+    both = columnar(corpus.files(spark, sf_dir).withColumn("changed", changed))
+    old, new = both.select("rel_path", "source"), both.select("rel_path", F.col("changed").alias("source"))
+    rows = [parse_files(corpus.spread(v), tables=structure.SIGNED).withColumn("version", F.lit(k)) for k, v in enumerate((old, new))]
+    parsed = columnar(rows[0].union(rows[1]), "version", "tab")
+    return structure.changed_layers(*[structure.signatures(parsed.where(F.col("version") == k), v) for k, v in enumerate((old, new))])
 
 
 @query(corpus.SQL + "SELECT DISTINCT split_part('os', '.', 1) AS package FROM m WHERE false")

@@ -266,3 +266,9 @@ def test_first_wins_by_place_and_without_nulls(spark):
     kept = lambda df: sorted(map(tuple, df.collect()), key=repr)
     assert kept(graph.first_wins(rows, ties=("row_no",))) == [(1, None, 5), (2, None, None), (3, None, 4), (None, "e", 1)]
     assert kept(graph.first_wins(rows, ties=("row_no",), skip_null=True)) == [(1, "b", 5), (2, None, None), (3, None, 4), (None, "e", 1)]
+
+
+@pytest.mark.parametrize("tables", [("import", "item", "def", "global", "call"), ("ref",), ("fragment",), ("lint", "complexity"), ("local_type", "span"), ("file", "import_map")])
+def test_named_tables_are_those_of_all(tables):
+    for source in (SOIL, BEDS, SEASON, "def broken("):
+        assert parse_source("garden/x.py", source, tables=tables) == [r for r in parse_source("garden/x.py", source) if r["tab"] in tables]

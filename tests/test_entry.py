@@ -76,3 +76,8 @@ def test_first_wins_takes_the_first_of_equal_places(spark, tmp_path, parts):
         con.execute(f"copy (select * from lineitem {last} offset {k * step}) to '{tmp_path}/lineitem.parquet/part-{k}.parquet' (format parquet, row_group_size 2048)")
     con.execute("set threads = 1")
     assert normal(queries.QUERIES["node_dedup_first_wins"](spark, str(tmp_path)).toPandas()) == normal(con.sql(queries.SQL["node_dedup_first_wins"]).df())
+
+
+def test_facet_changes_parses_each_version_once(spark):
+    plan = queries.QUERIES["facet_changes"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan
