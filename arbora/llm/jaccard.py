@@ -275,7 +275,8 @@ def _links(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = left.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).select(F.expr("b ^ 0L").alias("hub"), "blocks")
     placed = left.join(blocks, F.col("b") == F.col("hub")).select("a", "hub", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("slot"))
     need = placed.select(F.col("a").alias("id"), "hub", "slot", F.lit(False).alias("lead")).union(placed.select(F.col("hub").alias("id"), "hub", "slot", F.lit(True).alias("lead")).distinct())
-    texts = docs.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("hub", "slot", "id", "lead", "text")
+    wanted = storage.marked(docs, "doc_id", left.select("a").union(left.select("b")), "wanted").where("wanted")
+    texts = wanted.join(need.hint("shuffle_hash"), F.col("doc_id") == F.col("id")).select("hub", "slot", "id", "lead", "text")
     ordered = texts.repartition("hub", "slot").sortWithinPartitions("hub", "slot", F.desc("lead"))
     links, _ = storage.materialize(ordered.mapInArrow(_verify, "a bigint, b bigint"), "links")
     storage.drop(spark, left_path)
@@ -318,7 +319,8 @@ def _across(reps: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     One of a pair is outside its key's main component; within the main component nothing is compared.
     """
     spark = docs.sparkSession
-    texts = docs.join(reps.select(F.col("rep").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
+    wanted = storage.marked(docs, "doc_id", reps.select("rep"), "wanted").where("wanted")
+    texts = wanted.join(reps.select(F.col("rep").alias("id")), F.col("doc_id") == F.col("id")).select("id", "text")
     keys, keys_path = storage.materialize(texts.mapInArrow(_all_keys, "rep bigint, n int, tag int, need int, key bigint").join(reps, "rep"), "keys")
     ranked = keys.join(_costs(keys), F.col("key") == F.col("k"), "left").withColumn("cost", F.coalesce("cost", F.lit(0.0)))
     cheapest = Window.partitionBy("rep", "n", "tag").orderBy("cost", "key")

@@ -131,12 +131,13 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
     """``docs`` with every found span replaced by ``mark``; rows without findings stay as they are.
 
     Overlapping spans are replaced as one.  Rows meet their findings by blob, in a join that adaptive
-    execution may split where one blob has very many copies.
+    execution may split where one blob has very many copies; most rows without findings do not go there.
     """
     found, _ = storage.materialize(scan(docs, key, text).where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"]), "found")
     names, blob, spans = docs.columns, storage.free_name(docs, "blob"), storage.free_name(docs, "spans")
     own = docs.withColumn(blob, F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    both = own.join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
+    flagged = storage.marked(own, blob, found.select("blob"), flag := storage.free_name(own, "flag"))
+    both = flagged.where(F.col(flag)).join(found.select(F.col("blob").alias(blob), F.col("spans").alias(spans)), blob, "left")
     merged = F.aggregate(
         spans,
         F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
@@ -145,4 +146,5 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str =
         .otherwise(F.struct(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark)).alias("out"), s["end"].alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.lit(2**31 - 1) - acc["at"])),
     )
-    return both.withColumn(text, F.when(F.col(spans).isNotNull(), merged).otherwise(F.col(text))).select(*names)
+    done = both.withColumn(text, F.when(F.col(spans).isNotNull(), merged).otherwise(F.col(text)))
+    return done.select(*names).union(flagged.where(~F.col(flag)).select(*names))

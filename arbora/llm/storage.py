@@ -12,6 +12,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a filter for each value, and at most: 8 MB, in rows of 64 bits.
+BITS, MOST_BITS = 16, 1 << 26
 
 _OWN: dict[str, str] = {}
 
@@ -55,3 +59,19 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted += "_"
     return wanted
+
+
+def marked(rows: DataFrame, key: str, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a flag ``name``, false only where ``key`` is no value of ``wanted``'s one column, which has its type.
+
+    So rows that a join would drop need not be exchanged for it.  The flags come from a broadcast filter of one hash, a
+    sixteenth of the other rows have one too, and more where the bits run out; the join decides.
+    """
+    bits = min(MOST_BITS, 64 << (BITS * wanted.count() // 64).bit_length())
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(bits - 1))
+    word = lambda c: F.call_function("shiftright", place(c), F.lit(6))
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), place(c).bitwiseAND(F.lit(63)).cast("int"))
+    at, held = free_name(rows, "filter_word"), free_name(rows, "filter_bits")
+    words = wanted.groupBy(word(wanted.columns[0]).alias(at)).agg(F.bit_or(bit(wanted.columns[0])).alias(held))
+    flag = F.coalesce(F.col(held).bitwiseAND(bit(key)) != 0, F.lit(False))
+    return rows.join(F.broadcast(words), word(key) == F.col(at), "left").withColumn(name, flag).drop(at, held)

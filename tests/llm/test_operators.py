@@ -815,3 +815,28 @@ def test_decontamination_query(spark, texts):
     got = {(r["doc_id"], r["item_id"]) for r in registered.op10_decontamination(spark, SMALL).collect()}
     short = [(i, t) for i, t in texts.items() if len(t) < 2500]
     assert {k for k in got if k[0] in dict(short)} == set(contaminated_by_force(short, items))
+
+
+def test_marked_rows_are_few_and_miss_none(spark):
+    rows = spark.range(50_000).select(F.col("id").alias("Filter_Word"), F.when(F.col("id") % 100 > 0, F.col("id")).alias("k"))
+    for wanted in (rows.where("k % 50 = 7").select("k"), rows.where("k < 0").select("k"), rows.select("k")):
+        out = storage.marked(rows, "k", wanted, "maybe")
+        assert out.columns == [*rows.columns, "maybe"]
+        got, keys = out.collect(), {r["k"] for r in wanted.collect()}
+        assert len(got) == 50_000
+        assert all(r["maybe"] for r in got if r["k"] in keys)
+        assert sum(r["maybe"] for r in got if r["k"] not in keys) <= 0.12 * 50_000
+
+
+def test_texts_without_findings_are_not_exchanged(spark):
+    docs = spark.createDataFrame([(k, 'token = "abcdefgh12345678"' if k % 9 == 0 else f"plain {k}") for k in range(900)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = secrets.redact(docs)
+        got = {r["doc_id"]: r["text"] for r in out.collect()}
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == {k: '[secret]"' if k % 9 == 0 else f"plain {k}" for k in range(900)}
+    assert plan.lstrip().startswith("Union")
