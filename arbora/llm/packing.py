@@ -48,6 +48,7 @@ LOOSER = 8
 
 def _cut(path: str | None, length: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        textkit.release()  # what earlier stages' tasks held to their end
         encoder, number = tokens.encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             row, piece, start, size, crc = [], [], [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import storage
+from arbora.llm import storage, textkit
 
 #: Goes up with every change to a rule below; a new version makes all blobs unseen.
 RULE_VERSION = 1
@@ -73,6 +73,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blobs.append(blob)
                 found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(found, kind)], ["blob", "spans"])
+    textkit.release()
 
 
 class BlobLedger:

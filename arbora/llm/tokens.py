@@ -77,6 +77,11 @@ def _agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndar
     return np.array_equal(here, data[own])
 
 
+def _bounds(known: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Ascending bounds and further ones behind them, in 32 bits while they fit."""
+    return np.concatenate([known, more if more[-1] >= 1 << 31 else more.astype(np.int32)])
+
+
 class Encoder:
     """Ids of texts by one vocabulary file."""
 
@@ -91,10 +96,10 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        # Hashes ascending and each one's piece; a piece's ids and bytes are slices of the two flat arrays.
+        # Hashes ascending and each one's piece; a piece's ids and bytes are slices of the two flat arrays, from its bound to the next.
         self.hashes, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.offset, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
-        self.begin, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.offset, self.flat = np.zeros(1, np.int32), np.zeros(0, np.uint32)
+        self.begin, self.bytes = np.zeros(1, np.int32), np.zeros(0, np.uint8)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """By the library alone."""
@@ -105,28 +110,25 @@ class Encoder:
         joined = [b" ".join(keys[k : k + 500]).decode() for k in range(0, len(keys), 500)]
         ids = np.concatenate(self.whole(joined))
         last = np.flatnonzero(self.ends_piece[ids])
-        first = np.concatenate([[0], last[:-1] + 1])
         if len(last) != len(keys):
             raise RuntimeError("pieces and ids do not agree")
         known = len(self.piece)
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.piece = every[order], np.concatenate([self.piece, np.arange(known, known + len(keys), dtype=np.int32)])[order]
-        self.offset = np.concatenate([self.offset, first + len(self.flat)])
-        self.size = np.concatenate([self.size, (last + 1 - first).astype(np.int32)])
+        self.offset = _bounds(self.offset, len(self.flat) + last + 1)
         self.flat = np.concatenate([self.flat, ids])
-        length = ends - starts
-        self.begin = np.concatenate([self.begin, len(self.bytes) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
+        self.begin = _bounds(self.begin, len(self.bytes) + np.cumsum(ends - starts))
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(keys), np.uint8)])
 
     def _remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> bool:
         """Whether pieces have the bytes of those remembered for their hashes."""
         size = ends - starts
-        if not np.array_equal(size, self.length[piece]):
+        begin = self.begin[piece].astype(np.int64)
+        if not np.array_equal(size, self.begin[piece + 1] - begin):
             return False
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        return np.array_equal(data[np.repeat(starts, size) + step], self.bytes[np.repeat(self.begin[piece], size) + step])
+        return np.array_equal(data[np.repeat(starts, size) + step], self.bytes[np.repeat(begin, size) + step])
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         parts = [t.lower().encode() for t in texts]
@@ -152,9 +154,10 @@ class Encoder:
         if not self._remembered(data, starts[first], ends[first], distinct):
             return self.whole(texts)
         number = distinct[place]
-        size = self.size[number]
+        first = self.offset[number].astype(np.int64)
+        size = self.offset[number + 1] - first
         after = np.cumsum(size, dtype=np.int64)
-        ids = self.flat[np.repeat(self.offset[number] - after + size, size) + np.arange(after[-1])]
+        ids = self.flat[np.repeat(first - after + size, size) + np.arange(after[-1])]
         cut = np.concatenate([[0], after])[np.searchsorted(starts, offsets)]
         return [ids[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
 
