@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm import textkit
+from arbora.llm import storage, textkit
 
 K = 5
 RADIUS = 10
@@ -206,6 +206,7 @@ def _search(shared):
             rows, found = _found(shared.value, batch.column(1))
             item, start, size, similarity = zip(*found, strict=True) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(similarity, pa.float64())], ["doc_id", "item_id", "start_word", "n_words", "similarity"])
+        batch = None
         textkit.release()
 
     return run
@@ -214,8 +215,10 @@ def _search(shared):
 def _drop(shared, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gone = set(_found(shared.value, batch.column(text))[0])
-            yield batch.take(pa.array([k for k in range(batch.num_rows) if k not in gone], pa.int64()))
+            for part in textkit.parts(batch, text):
+                gone = set(_found(shared.value, part.column(text))[0])
+                yield part.take(pa.array([k for k in range(part.num_rows) if k not in gone], pa.int64()))
+        batch = part = None
         textkit.release()
 
     return run
@@ -242,7 +245,7 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
         shared = docs.sparkSession.sparkContext.broadcast(Index(part))
         found = docs.select(F.col(key), F.col(text)).mapInArrow(_search(shared), schema)
         out = found if out is None else out.union(found)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    return storage.no_rows(docs.sparkSession, schema) if out is None else out
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:

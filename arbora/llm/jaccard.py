@@ -52,6 +52,8 @@ K = 5
 CHUNKS = 0.35
 #: Keys that a task joins among themselves before it sends them on.
 FLUSH = 1_500_000
+#: Routes whose keys leave a task together.
+ROUTES = 64
 #: 64-bit words of the short sketch that goes with a key's rows.
 WORDS = 8
 #: Partners that are verified beside one copy of their hub's text.
@@ -174,7 +176,9 @@ def _flush(keys: list[np.ndarray], ids: list[np.ndarray], routes: int) -> Iterat
     narrow = int(doc.max()) - low < 1 << 32
     packed = (doc - low).astype(np.uint32) if narrow else doc
     a = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-    yield _rows(route=route[cut[:-1]], kind=np.full(len(a), KEYS), other=np.full(len(a), low), n=np.diff(cut), payload=[key[x:y].tobytes() + packed[x:y].tobytes() for x, y in a])
+    for k in range(0, len(a), ROUTES):
+        own = a[k : k + ROUTES]
+        yield _rows(route=[int(route[x]) for x, _ in own], kind=np.full(len(own), KEYS), other=np.full(len(own), low), n=[y - x for x, y in own], payload=[key[x:y].tobytes() + packed[x:y].tobytes() for x, y in own])
 
 
 def _sketch(routes: int):
@@ -203,6 +207,7 @@ def _sketch(routes: int):
                 keys, ids, held = [], [], 0
         if held:
             yield from _flush(keys, ids, routes)
+        batch, keys, ids = None, [], []
         textkit.release()
 
     return run

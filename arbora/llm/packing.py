@@ -65,6 +65,7 @@ def _cut(path: str | None, length: int, end: int):
             number += len(row)
             columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(uid)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "uid"])
+        batch = None
         textkit.release()
 
     return run

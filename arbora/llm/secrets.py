@@ -73,6 +73,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 blobs.append(blob)
                 found.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans])
         yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(found, kind)], ["blob", "spans"])
+    batch = None
     textkit.release()
 
 
@@ -86,7 +87,7 @@ class BlobLedger:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         if at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-        return self.spark.createDataFrame([], schema)
+        return storage.no_rows(self.spark, schema)
 
     def seen(self) -> DataFrame:
         return self._table("seen", "blob string, rule_version int")

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -54,8 +55,19 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & (1 << 64) - 1], U64))[0])
 
 
+def parts(batch: pa.RecordBatch, text: int, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch in slices with about ``limit`` bytes in the text column, so that copies made of a slice stay small beside it."""
+    column = batch.column(text)
+    size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if len(column) else np.zeros(0, np.int64)
+    for a, b in spans_of_rows(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), limit):
+        yield batch.slice(a, b - a)
+
+
 def release() -> None:
-    """Give memory that a task no longer uses back to the machine: Python workers outlive their tasks."""
+    """Give memory that a task no longer uses back to the machine: Python workers outlive their tasks.
+
+    What a task's variables still hold stays, so it lets go of its last batch first.
+    """
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -22,7 +22,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 #: Bytes of text that are encoded together.
-RUN = 1 << 19
+RUN = 1 << 18
 
 #: Characters whose normal form, lower case and class are the same here and in the library.
 _PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿŒœ0-9\t\n\r !-/:-@\[-`{-~]*")
@@ -77,9 +77,17 @@ def _agree(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndar
     return np.array_equal(here, data[own])
 
 
+def _extended(known: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """An array that nothing else refers to, with further values behind its own: it grows in place, without a second copy beside it."""
+    n = len(known)
+    known.resize(n + len(more), refcheck=False)
+    known[n:] = more
+    return known
+
+
 def _bounds(known: np.ndarray, more: np.ndarray) -> np.ndarray:
     """Ascending bounds and further ones behind them, in 32 bits while they fit."""
-    return np.concatenate([known, more if more[-1] >= 1 << 31 else more.astype(np.int32)])
+    return _extended(known if more[-1] < 1 << 31 else known.astype(np.int64), more)
 
 
 class Encoder:
@@ -113,13 +121,13 @@ class Encoder:
         if len(last) != len(keys):
             raise RuntimeError("pieces and ids do not agree")
         known = len(self.piece)
-        every = np.concatenate([self.hashes, hashes])
-        order = np.argsort(every, kind="stable")
-        self.hashes, self.piece = every[order], np.concatenate([self.piece, np.arange(known, known + len(keys), dtype=np.int32)])[order]
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.piece = np.insert(self.piece, at, np.arange(known, known + len(keys), dtype=np.int32))
         self.offset = _bounds(self.offset, len(self.flat) + last + 1)
-        self.flat = np.concatenate([self.flat, ids])
+        self.flat = _extended(self.flat, ids)
         self.begin = _bounds(self.begin, len(self.bytes) + np.cumsum(ends - starts))
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(keys), np.uint8)])
+        self.bytes = _extended(self.bytes, np.frombuffer(b"".join(keys), np.uint8))
 
     def _remembered(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> bool:
         """Whether pieces have the bytes of those remembered for their hashes."""

@@ -162,7 +162,7 @@ def _scorer(model_of, text: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, table = model_of.value
         mask, crowded = np.uint64((1 << _BITS) - 1), bool((table == -2).any())
-        for batch in batches:
+        for batch in (part for whole in batches for part in textkit.parts(whole, text)):
             margin = np.full(batch.num_rows, model.bias)
             for a, b, _, _, starts, ends, hashes, at, sums in textkit.texts_in_runs(batch.column(text), textkit.ALNUM):
                 row = np.repeat(np.arange(b - a), np.diff(at))
@@ -178,6 +178,8 @@ def _scorer(model_of, text: int, name: str):
                 if len(hit):
                     margin[a:b] += np.bincount(hit // len(model.features), model.weights[hit % len(model.features)] * weight_of(count), b - a)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(margin, -40, 40))))], [*batch.schema.names, name])
+        batch = None
+        textkit.release()
 
     return run
 

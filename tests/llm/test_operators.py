@@ -840,3 +840,52 @@ def test_texts_without_findings_are_not_exchanged(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == {k: '[secret]"' if k % 9 == 0 else f"plain {k}" for k in range(900)}
     assert plan.lstrip().startswith("Union")
+
+
+def test_slices_of_batches_hold_all_rows_in_order():
+    texts = ["x" * 3000, None, "", "é" * 5000, *(["abc def"] * 2000), "y" * 9000, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"]).slice(1)
+    got = list(textkit.parts(batch, 1, 4096))
+    assert pa.Table.from_batches(got).combine_chunks() == pa.Table.from_batches([batch]).combine_chunks()
+    assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 4096 for p in got)
+    assert not list(textkit.parts(batch.slice(0, 0), 1))
+
+
+def test_stages_give_back_large_batches_in_slices():
+    """A worker that passes texts through holds a slice of its batch a second time, not the batch."""
+    texts = [f"word{k} " * 4000 for k in range(600)]  # some 20 MB, and no shingle of an item
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+
+    class Shared:
+        value = None
+
+    model = toxicity.Model(np.array([5], np.uint64), np.array([1.0]), 0.0)
+    for value, run in ((decontaminate.Index([(1, "one two three four five six")]), decontaminate._drop), ((model, model.table()), lambda shared, at: toxicity._scorer(shared, at, "score"))):
+        Shared.value = value
+        out = list(run(Shared, 1)(iter([batch])))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(len(texts)))
+        assert max(sum(len(t) for t in b.column(1).to_pylist()) for b in out) <= 1 << 22
+
+
+def test_learning_pieces_needs_little_beside_them():
+    """The encoder's arrays grow without a second copy of them all."""
+    import tracemalloc
+
+    encoder, rng = tokens.Encoder(), random.Random(4)
+    column = pa.array([" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(1000)) for _ in range(100)])
+    tracemalloc.start()
+    try:
+        got = list(encoder.column(column))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, encoder.whole(column.to_pylist()), strict=True))
+    assert most < 17
+
+
+def test_an_unused_ledger_needs_no_python_workers(spark, tmp_path):
+    ledger = secrets.BlobLedger(spark, str(tmp_path / "none"))
+    for table, kinds in ((ledger.seen(), [("blob", "string"), ("rule_version", "int")]), (ledger.findings(), [("blob", "string"), ("rule_version", "int"), ("spans", secrets.SPANS)])):
+        assert table.dtypes == kinds
+        assert not table.collect()
+        assert "ExistingRDD" not in (plan := table._jdf.queryExecution().toString()) and "LogicalRDD" not in plan
